@@ -47,9 +47,12 @@ def with_instants(rows: DataFrame, services: DataFrame, text: str, service: Colu
     dates without a time, unknown zone abbreviations, null, empty and over-long texts. Digits finer
     than microseconds are cut off. Repeated rows stay repeated; columns of other names stay as they are.
     """
-    known = bounded_broadcast(services.groupBy(some("name").alias("_service")).agg(F.min("tz_name").alias("_tz"), F.min("day_first").alias("_first")).where("_service is not null"))
-    joined = rows.withColumn("_service", some(service)).join(known, "_service", "left")
-    return joined.withColumn(name, instant_column(zone_tables(services))(F.col(text), F.col("_tz"), F.col("_first"))).drop("_service", "_tz", "_first")
+    taken = {c.lower() for c in rows.columns}
+    key, zone, first = ("_" * (1 + max(map(len, rows.columns))) + c for c in "ktf")
+    known = services.groupBy(some("name").alias(key)).agg(F.min("tz_name").alias(zone), F.min("day_first").alias(first)).where(F.col(key).isNotNull())
+    joined = rows.withColumn(key, some(service)).join(bounded_broadcast(known), key, "left")
+    kept = [F.col(f"`{c}`") for c in rows.columns if c.lower() != name.lower() or name.lower() not in taken]
+    return joined.select(*kept, instant_column(zone_tables(services))(F.col(text), F.col(zone), F.col(first)).alias(name))
 
 
 def service_of(rows: DataFrame) -> Column:
