@@ -49,10 +49,10 @@ def hot_key_profile(
 def hot_keys(profile: DataFrame, share: float = 0.01, count: str = "n_edges") -> DataFrame:
     """Keys of a profile that hold at least ``share`` of everything counted.
 
-    The total is one row. Its aggregate names every column of the profile, so both
-    branches keep the same plan below and the exchanges are run once and reused.
+    The total is a scalar subquery. Its aggregate names every column of the profile, so both
+    plans are the same below and the exchanges are run once and reused.
     """
     others = [c for c in profile.columns if c != count]
-    total = profile.agg(F.sum(count).alias("_total"), *(F.max(c).alias(f"_{c}") for c in others)).select(F.lit(1).alias("_k"), "_total", *(f"_{c}" for c in others))
-    kept = profile.withColumn("_k", F.lit(1))
-    return kept.join(F.broadcast(total), "_k").where(F.col(count) >= F.col("_total") * share).select(*profile.columns)
+    total = profile.agg(F.sum(count).alias("_total"), *(F.max(c).alias(f"_{c}") for c in others))
+    total = total.select(F.struct(*total.columns).alias("_t")).select(F.col("_t._total"))
+    return profile.where(F.col(count) >= total.scalar() * share)
