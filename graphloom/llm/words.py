@@ -13,13 +13,20 @@ LOOKALIKES = str.maketrans(
 )
 #: Tags that stand inside words.
 INLINE = "a|abbr|b|code|em|font|i|mark|s|small|span|strong|sub|sup|tt|u"
-_COMMENT = re.compile(r"<!--.*?-->", re.S)
 _INLINE = re.compile(rf"</?(?:{INLINE})(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _uncommented(text: str) -> str:
+    parts, at = [], 0
+    while (low := text.find("<!--", at)) >= 0 and (high := text.find("-->", low)) >= 0:
+        parts.append(text[at:low])
+        at = high + 3
+    return " ".join([*parts, text[at:]])
+
+
 def plain(text: str) -> str:
     """Lower-case text without markup, escapes, invisible and disguised characters."""
     if "&" in text:
@@ -27,7 +34,7 @@ def plain(text: str) -> str:
     if "\\u" in text:
         text = _ESCAPE.sub(lambda m: chr(int(m.group(1), 16)), text)
     if "<" in text:
-        text = _TAG.sub(" ", _INLINE.sub("", _COMMENT.sub(" ", text)))
+        text = _TAG.sub(" ", _INLINE.sub("", _uncommented(text)))
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
         text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf")).translate(LOOKALIKES)
