@@ -50,8 +50,9 @@ def _as_of(value: str, day: Column) -> Column:
     return F.coalesce(F.max(F.when(F.col("day") <= day, F.col(value))), F.lit(0))
 
 
-def _by(name: str, value: str) -> Column:
-    return F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col(name).isNotNull() & F.col(value).isNotNull(), F.struct(F.col(name), F.col(value)))))).alias(f"{value}_by_{name}")
+def _by(wanted: Column, value: str, name: str) -> Column:
+    entry = F.when(wanted & F.col("name").isNotNull() & F.col(value).isNotNull(), F.struct("name", value))
+    return F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(f"{value}_by_{name}")
 
 
 def entity_features(state: DataFrame, as_of: date, windows: Sequence[int] = (7, 30)) -> DataFrame:
@@ -74,16 +75,19 @@ def entity_features(state: DataFrame, as_of: date, windows: Sequence[int] = (7,
     )
     window_columns = [c for w in windows for c in ((F.col("n") - F.col(f"_n{w}")).alias(f"n{w}"), (F.col("total") - F.col(f"_t{w}")).alias(f"t{w}"))]
     series = series.select(*ENTITY, "event_type", "severity", "n", "total", "last", *window_columns)
-    sums = [F.sum(c).alias(c) for c in ("n", "total", *(f"{k}{w}" for w in windows for k in "nt"))]
-    types = series.groupBy(*ENTITY, "event_type").agg(*sums, F.max("last").alias("last"))
-    types = types.withColumn("since", ((end_us - F.col("last")) / 1e6).cast("bigint"))
-    severities = series.groupBy(*ENTITY, "severity").agg(F.sum("n").alias("n")).groupBy(*ENTITY).agg(_by("severity", "n"))
-    rows = types.groupBy(*ENTITY).agg(*sums, F.max("last").alias("last"), _by("event_type", "n"), _by("event_type", "total"), _by("event_type", "last"), _by("event_type", "since"), *(_by("event_type", f"n{w}") for w in windows))
-    left, right = rows.alias("l"), severities.alias("r")
-    joined = left.join(right, F.col("l.service").eqNullSafe(F.col("r.service")) & F.col("l.symbol").eqNullSafe(F.col("r.symbol")))
-    return joined.select(
-        F.col("l.service").alias("service"),
-        F.col("l.symbol").alias("symbol"),
+    measures = ["n", "total", *(f"{k}{w}" for w in windows for k in "nt")]
+    tagged = series.select(*ENTITY, F.explode(F.array(F.struct(F.lit(True).alias("typed"), F.col("event_type").alias("name"), *measures, "last"), F.struct(F.lit(False).alias("typed"), F.col("severity").alias("name"), *measures, "last"))).alias("m")).select(*ENTITY, "m.*")
+    named = tagged.groupBy(*ENTITY, "typed", "name").agg(*(F.sum(c).alias(c) for c in measures), F.max("last").alias("last")).withColumn("since", ((end_us - F.col("last")) / 1e6).cast("bigint"))
+    typed = F.col("typed")
+    rows = named.groupBy(*ENTITY).agg(
+        *(F.sum(F.when(typed, F.col(c))).alias(c) for c in measures),
+        F.max("last").alias("last"),
+        *(_by(typed, v, "event_type") for v in ("n", "total", "last", "since", *(f"n{w}" for w in windows))),
+        _by(~typed, "n", "severity"),
+    )
+    return rows.select(
+        "service",
+        "symbol",
         F.col("n").alias("n_events"),
         F.col("total").cast("double").alias("duration_total_ms"),
         F.col("last").alias("last_us"),
