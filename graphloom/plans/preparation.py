@@ -13,7 +13,7 @@ from graphloom.sources.tables import table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    changes = schema_drift.schema_changes(schema_drift.file_schemas(table(spark, folder, "event_lines")))
+    changes = schema_drift.schema_changes(checkpointed(schema_drift.file_schemas(table(spark, folder, "event_lines"))))
     return changes.select("feed_id", "file_no", "field_name", "change").distinct()
 
 
