@@ -38,22 +38,26 @@ PROMOTIONAL = set(
 )
 LEAST_WORDS = 5
 
-_ANCHOR = re.compile(r"<a\s[^<>]*?href\s*=\s*[\"']?([^\"'\s<>]+)[\"']?[^<>]*>(.*?)</a>", re.I | re.S)
+_ANCHOR = re.compile(r"<a\s[^<>]*?href\s*=\s*[\"']?([^\"'\s<>]+)[\"']?[^<>]*>([^<]*(?:<(?!/?a\b)[^<]*)*)</a>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
-_LINK = re.compile(r"\]?\(?\b(?:https?|ftp)://[^\s)>\]]+\)?|\bwww\.[^\s)>\]]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,12}/[^\s)>\]]*", re.I)
-_SENTENCE_END = re.compile(r"(?<=[.!?;])\s+(?=[\W_]*[A-ZÀ-ÞÄÖÜ0-9])")
+_LINK = re.compile(r"\]?\(?\b(?:https?|ftp)://[^\s)>\]]+\)?|\bwww\.[^\s)>\]]+|(?<![\w.-])[a-z0-9-]{1,63}+(?:\.[a-z0-9-]{1,63}+){1,8}+(?<=[a-z]{2})/[^\s)>\]]*", re.I)
+_SENTENCE_END = re.compile(r"(?<=[.!?;])\s+(?=[\W_]{0,6}[A-ZÀ-ÞÄÖÜ0-9])")
 _WORD = re.compile(r"[^\W_]+(?:[-'’_.][^\W_]+)*")
 _WORKING = re.compile(
     r"\s*(?:\|.*\||[|:\s-]{3,}|[=~^*_-]{3,}|#{1,6}\s.*|\d{1,2}:\d\d(?::\d\d)?\b.*|\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d.*|[\w.\[\]-]+\s*[=~^<>!]=\s*v?\d[\w.]*.*"
     r"|\S+\s+(?:PASSED|FAILED|SKIPPED|ERROR|OK|XFAIL)\b.*|(?:def|class|return|if|for|while|import|from|else|try|except|function|const|let|var|public|private)\b.*[:;({})\]]\s*|[})\];]+|(?:Subject|From|To|Date):\s.*|References?:?)\s*"
 )
+_TOKEN = re.compile(r"[^\W_]\S*")
+_SEPARATOR = re.compile(r"[^\w\s'’-]")
+_PHRASES = (("near", "me"), ("number", "one"), ("pas", "cher"))
 _CLOUD = re.compile(r"[^\s()]+\(\d+\)$")
 
 
 def _units(text: str) -> Iterator[tuple[str, bool]]:
     """``(unit, working)`` of a text, blank ones left out."""
     if "<" in text:
-        text = _ANCHOR.sub(lambda m: f"\n[{m.group(2)}]({m.group(1)})\n" if text.count("<a ") > 2 else f"{m.group(2)} ({m.group(1)})", text)
+        listed = text.count("<a ") > 2
+        text = _ANCHOR.sub(lambda m: f"\n[{m.group(2)}]({m.group(1)})\n" if listed else f"{m.group(2)} ({m.group(1)})", text)
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
@@ -74,28 +78,26 @@ def _units(text: str) -> Iterator[tuple[str, bool]]:
             yield line, False
 
 
-def _bucket(n: int) -> int:
-    return n.bit_length()
-
-
 class _Unit:
-    __slots__ = ("text", "tokens", "words", "links", "function", "promotional", "shape")
-
-    def __init__(self, text: str):
-        self.text = text
-        self.tokens = sum(1 for t in text.split() if any(c.isalnum() for c in t))
-        bare, self.links = _LINK.subn(" ", text)
-        found = _WORD.findall(bare)
-        self.words = [w.lower() for w in found]
-        self.function = sum(w in FUNCTION_WORDS for w in self.words)
-        self.promotional = sum(w in PROMOTIONAL for w in self.words)
-        for a, b, n in (("near", "me", 2), ("number", "one", 2), ("pas", "cher", 2)):
+    __slots__ = ("text", "tokens", "words", "links", "function", "promotional", "found", "bare")
+
+    def __init__(self, text: str, tokens: int):
+        self.text, self.tokens = text, tokens
+        self.bare, self.links = _LINK.subn(" ", text) if "/" in text or "www." in text else (text, 0)
+        self.found = _WORD.findall(self.bare)
+        self.words = [w.lower() for w in self.found]
+        self.function = sum(map(FUNCTION_WORDS.__contains__, self.words))
+        self.promotional = sum(map(PROMOTIONAL.__contains__, self.words))
+        for a, b in _PHRASES:
             if a in self.words:
-                self.promotional += n * sum(x == a and y == b for x, y in zip(self.words, self.words[1:], strict=False))
-        separators = "".join(sorted({c for c in bare if not c.isalnum() and c not in " '’_-"}))[:8]
-        capitals = sum(w[0].isupper() for w in found)
-        share = 0 if not found else 1 if capitals <= 1 else 2 if capitals < len(found) / 2 else 3
-        self.shape = (_bucket(len(found)), share, separators, min(self.links, 2))
+                self.promotional += 2 * sum(x == a and y == b for x, y in zip(self.words, self.words[1:], strict=False))
+
+    def shape(self) -> tuple:
+        """Word count (power of two), capitals, separators and links."""
+        separators = "".join(sorted(set(_SEPARATOR.findall(self.bare))))[:8]
+        capitals = sum(w[0].isupper() for w in self.found)
+        share = 0 if not self.found else 1 if capitals <= 1 else 2 if capitals < len(self.found) / 2 else 3
+        return len(self.found).bit_length(), share, separators, min(self.links, 2)
 
     def sentence(self) -> bool:
         n = len(self.words)
@@ -126,9 +128,9 @@ def _keyworded(units: list[_Unit]) -> bool:
 
 
 def _stuffed(unit: _Unit) -> bool:
-    """A sentence in form only: promotional words in it are too many for prose."""
+    """A sentence in form only: too many promotional and too few function words for prose."""
     n = len(unit.words)
-    return n >= 6 and unit.promotional >= 3 and unit.promotional >= 0.21 * n
+    return n >= 4 and unit.promotional >= 3 and (unit.promotional >= 0.5 * n or unit.promotional >= 0.2 * n and unit.function <= 0.36 * n)
 
 
 def spam_share(text: str | None) -> float:
@@ -136,14 +138,15 @@ def spam_share(text: str | None) -> float:
     total = spam = 0
     groups: dict[tuple, list[_Unit]] = defaultdict(list)
     for line, working in _units(text or ""):
-        unit = _Unit(line)
-        total += unit.tokens
+        tokens = len(_TOKEN.findall(line))
+        total += tokens
         if working:
             continue
+        unit = _Unit(line, tokens)
         if unit.sentence():
             spam += unit.tokens * _stuffed(unit)
         else:
-            groups[unit.shape].append(unit)
+            groups[unit.shape()].append(unit)
     leftover: list[_Unit] = []
     for units in groups.values():
         if _keyworded(units):
