@@ -69,4 +69,5 @@ def security_findings(files: DataFrame, most_lines: int | None = None) -> DataFr
     hits = F.array_compact(F.array(*(F.when(F.col("line").rlike(p), F.struct(F.lit(n).alias("finding"), F.lit(s).alias("severity"))) for n, s, p in SECURITY)))
     secret = F.regexp_extract("line", SECURITY[0][2], 1)
     masked = F.when(secret != "", F.replace(F.col("line"), secret, F.concat(F.substring(secret, 1, 4), F.lit("****"), F.right(secret, F.lit(4))))).otherwise(F.col("line"))
-    return lines.select("path", (F.col("i") + 1).alias("line_no"), F.explode(hits).alias("h"), masked.alias("evidence")).where(~((F.col("h.finding") == "CREDENTIAL") & F.lower("evidence").rlike("example|placeholder"))).select("path", "line_no", "h.finding", "h.severity", F.substring("evidence", 1, 120).alias("evidence"))
+    found = lines.select("path", (F.col("i") + 1).alias("line_no"), F.explode(hits).alias("h"), masked.alias("evidence"), "line")
+    return found.where(~((F.col("h.finding") == "CREDENTIAL") & F.lower("line").rlike("example|placeholder"))).select("path", "line_no", "h.finding", "h.severity", F.substring("evidence", 1, 120).alias("evidence"))

@@ -29,9 +29,9 @@ def commits(log: DataFrame, most_files: int = 50) -> DataFrame:
     part = lambda x, i: F.split_part(x, F.lit("\t"), F.lit(i))
     number = lambda i: F.aggregate(files, F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(F.try_to_number(F.nullif(part(x, i), F.lit("-")), F.lit("999999999")).cast("bigint"), F.lit(0).cast("bigint")))
     rows = log.select(head.alias("h"), files.alias("f"), number(1).alias("additions"), number(2).alias("deletions"))
-    parents = F.filter(F.split(F.element_at("h", 2), " "), lambda p: p != "")
+    parents = F.filter(F.split(F.coalesce(F.try_element_at("h", F.lit(2)), F.lit("")), " "), lambda p: p != "")
     return rows.where(F.size("h") >= 5).select(
-        F.element_at("h", 1).alias("commit_sha"), F.element_at("h", 3).alias("author"), F.element_at("h", 4).alias("authored_date"), F.element_at("h", 5).alias("message"), parents.alias("parent_hashes"), (F.size(parents) > 1).alias("is_merge"),
+        F.try_element_at("h", F.lit(1)).alias("commit_sha"), F.try_element_at("h", F.lit(3)).alias("author"), F.try_element_at("h", F.lit(4)).alias("authored_date"), F.try_element_at("h", F.lit(5)).alias("message"), parents.alias("parent_hashes"), (F.size(parents) > 1).alias("is_merge"),
         F.size("f").alias("files_changed"), "additions", "deletions", F.slice(F.transform("f", lambda x: F.struct(part(x, 3).alias("path"), (part(x, 1) == "-").alias("is_binary"))), 1, most_files).alias("files"),
     )
 
