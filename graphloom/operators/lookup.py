@@ -133,7 +133,7 @@ def observed_artifacts(artifacts: DataFrame, events: DataFrame) -> DataFrame:
     ids = events.select(F.col("component_artifact_id").alias("id")).where("id is not null").distinct()
     names = events.select(F.lower("component_name").alias("low")).where("low is not null").distinct()
     rows = once(artifacts).select("id", "snapshot_id", F.lower("name").alias("low"))
-    return rows.join(ids, "id", "left_semi").select("id", "snapshot_id").unionByName(rows.join(bounded_broadcast(names), "low", "left_semi").select("id", "snapshot_id")).distinct()
+    return rows.join(ids, "id", "left_semi").select("id", "snapshot_id").unionByName(rows.join(names, "low", "left_semi").select("id", "snapshot_id")).distinct()
 
 
 def untested(artifacts: DataFrame, edges: DataFrame, kinds: list[str]) -> DataFrame:

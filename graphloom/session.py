@@ -28,15 +28,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "grap
 
 
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
-    The folder comes from ``spark.checkpoint.dir`` of the session; only where the
-    setting is absent (tests, laptops) a temporary folder of this machine is used.
+    Only where the setting is absent and the master is local (tests, laptops) a temporary folder
+    of this machine is used; a cluster without the setting is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return df.checkpoint(eager)
 
