@@ -82,12 +82,18 @@ def document_frequencies(sizes: DataFrame) -> tuple[np.ndarray, int, int]:
     return out, n or 0, total or 0
 
 
-def pieces(sizes: DataFrame, capacity: int) -> DataFrame:
-    """Items: a text, or the full pieces and the rest of one over the capacity. Repeated ids stay repeated."""
-    count = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity)).cast("int")
-    cut = sizes.select("doc_id", "n_tokens", "terms", F.explode(F.sequence(F.lit(0), count - 1)).alias("piece_no"))
-    start = F.col("piece_no").cast("bigint") * capacity
-    return cut.select("doc_id", "piece_no", start.alias("token_start"), F.least(F.lit(capacity).cast("bigint"), F.col("n_tokens") - start).alias("n_tokens"), "terms")
+def rests(sizes: DataFrame, capacity: int) -> DataFrame:
+    """Items to be combined: texts below the capacity, and what is left of longer ones after their full pieces."""
+    full = F.floor(F.col("n_tokens") / capacity)
+    rows = sizes.select("doc_id", full.cast("int").alias("piece_no"), (full * capacity).cast("bigint").alias("token_start"), (F.col("n_tokens") - full * capacity).cast("bigint").alias("n_tokens"), "terms")
+    return rows.where((F.col("n_tokens") > 0) | (F.col("piece_no") == 0))
+
+
+def full_pieces(sizes: DataFrame, capacity: int) -> DataFrame:
+    """Pieces of exactly the capacity, each in a container of its own."""
+    cut = sizes.where(F.col("n_tokens") >= capacity).select("doc_id", F.explode(F.sequence(F.lit(0), (F.floor(F.col("n_tokens") / capacity) - 1).cast("int"))).alias("piece_no"))
+    name = F.concat_ws("-", F.lit("full"), F.col("doc_id").cast("string"), F.col("piece_no").cast("string"))
+    return cut.select(name.alias("container_id"), F.lit(capacity).cast("bigint").alias("capacity"), F.lit(0).alias("position"), "doc_id", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("token_start"), F.lit(capacity).cast("bigint").alias("n_tokens"))
 
 
 def fill(sizes: np.ndarray, terms: list[np.ndarray], idf: np.ndarray, capacity: int, small: float = 0.3) -> list[list[int]]:
@@ -149,7 +155,11 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], idf: np.ndarray, capacity:
 
 
 def _round(items: DataFrame, shards: int, idf: object, capacity: int, full: float, name: str) -> DataFrame:
-    """Items with ``container_id``, ``position`` and ``used`` after one round of packing in shards."""
+    """Items with ``container_id``, ``position`` and ``used`` after one round of packing in shards.
+
+    ``items`` must come from a checkpoint: rows are spread by their place in it too, so that even one
+    id repeated without end fills all shards alike, and a repeated task spreads them the same way.
+    """
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece_no"], ignore_index=True)
@@ -165,7 +175,7 @@ def _round(items: DataFrame, shards: int, idf: object, capacity: int, full: floa
         out["terms"] = [t if u < full * capacity else [] for t, u in zip(out["terms"], out["used"], strict=True)]
         return out
 
-    spread = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(name)), F.lit(shards)).cast("int"))
+    spread = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no", F.monotonically_increasing_id(), F.lit(name)), F.lit(shards)).cast("int"))
     return spread.groupBy("shard").applyInPandas(pack, f"{_ITEM}, container_id string, position int, used bigint")
 
 
@@ -180,17 +190,13 @@ def packed(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, full
     sizes = checkpointed(measured(documents, tokenizer))
     frequencies, n, total = document_frequencies(sizes)
     idf = sizes.sparkSession.sparkContext.broadcast(np.log1p((n - frequencies + 0.5) / (frequencies + 0.5)))
-    items = pieces(sizes, capacity)
-    whole = items.where(F.col("n_tokens") == capacity)
-    alone = F.concat_ws("-", F.lit("full"), F.col("doc_id").cast("string"), F.col("piece_no").cast("string"))
-    done = whole.select(alone.alias("container_id"), F.lit(capacity).cast("bigint").alias("capacity"), F.lit(0).alias("position"), "doc_id", "piece_no", "token_start", "n_tokens")
     shards = max(1, -(-total // (capacity * CONTAINERS_PER_SHARD)), -(-n // ITEMS_PER_SHARD))
-    first = checkpointed(_round(items.where(F.col("n_tokens") < capacity), shards, idf, capacity, full, "a"))
+    first = checkpointed(_round(rests(sizes, capacity), shards, idf, capacity, full, "a"))
     again = first.where(F.col("used") < full * capacity).drop("container_id", "position", "used")
     second = _round(again, max(1, shards // 16, -(-again.count() // ITEMS_PER_SHARD)), idf, capacity, full, "b")
     columns = [c.split()[0] for c in _PLACED.split(", ")]
     rows = first.where(F.col("used") >= full * capacity).unionByName(second).withColumn("capacity", F.lit(capacity).cast("bigint"))
-    return rows.select(*columns).unionByName(done.select(*columns))
+    return rows.select(*columns).unionByName(full_pieces(sizes, capacity).select(*columns))
 
 
 def fill_report(containers: DataFrame) -> DataFrame:
