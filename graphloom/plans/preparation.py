@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import entity_features, hot_keys, instants, references, schema_drift, snapshot_changes
+from graphloom.plans import instant_sql
 from graphloom.session import checkpointed
 from graphloom.sources.tables import table
 
@@ -35,6 +36,11 @@ def p2_features(spark: SparkSession, folder: str) -> DataFrame:
     return entity_features.entity_features(state, latest or date(1970, 1, 1))
 
 
+def p2_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """The scalar part of the features."""
+    return p2_features(spark, folder).select("service", "symbol", "n_events", "duration_total_ms", "last_us", "seconds_since_last", "n_7d", "n_30d", "duration_7d", "duration_30d")
+
+
 def p2_type_counts(spark: SparkSession, folder: str) -> DataFrame:
     return entity_features.type_counts(_events_once(spark, folder))
 
@@ -56,7 +62,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_times(spark: SparkSession, folder: str) -> DataFrame:
-    return instants.normalised_times(*_time_tables(spark, folder))
+    return instants.normalised_times(*_time_tables(spark, folder)).drop("zone_version")
 
 
 def _dangling(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,7 +86,7 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot_changes.change_counts(p6_found(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table, p2_features, p2_type_counts, p3_found, p3_profile, p4_found, p4_times, p5_found, p5_report, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_table, p2_features, p2_windows, p2_type_counts, p3_found, p3_profile, p4_found, p4_times, p5_found, p5_report, p6_found, p6_counts)}
 
 _PAIRS = """
 WITH edge AS (SELECT DISTINCT id, target_artifact_id, relationship_type, source_artifact_id, confidence FROM edges WHERE id IS NOT NULL),
@@ -131,15 +137,28 @@ side AS (
   LEFT JOIN art a ON a.snapshot_id = p.id AND a.name = p.name LEFT JOIN art b ON b.snapshot_id = p.prev AND b.name = p.name),
 changes AS (SELECT * FROM side WHERE change IS NOT NULL)
 """
+_WINDOWS = f"""
+WITH {instant_sql.TIMES},
+own AS (SELECT record_id, any_value(instant_us) AS us FROM times WHERE source = 'runtime_events' GROUP BY 1),
+once AS (SELECT event_id, coalesce(service, service_name) AS service, nullif(trim(attributes['symbol']), '') AS symbol, try_cast(attributes['duration_ms'] AS DECIMAL(18,6)) AS d, epoch_us(ingested_at) AS arrival FROM runtime_events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ingested_at) = 1),
+e AS (SELECT service, symbol, d, coalesce(own.us, arrival) AS us, (make_timestamp(coalesce(own.us, arrival)))::DATE AS day FROM once LEFT JOIN own ON own.record_id = event_id),
+p AS (SELECT max((ingested_at AT TIME ZONE 'UTC')::DATE) AS day FROM runtime_events)
+SELECT service, symbol, count(*) AS n_events, CAST(coalesce(sum(d), 0) AS DOUBLE) AS duration_total_ms, max(us) AS last_us, (epoch_us((any_value(p.day) + 1)::TIMESTAMP) - max(us)) // 1000000 AS seconds_since_last,
+  count(*) FILTER (e.day > p.day - 7) AS n_7d, count(*) FILTER (e.day > p.day - 30) AS n_30d, CAST(coalesce(sum(d) FILTER (e.day > p.day - 7), 0) AS DOUBLE) AS duration_7d, CAST(coalesce(sum(d) FILTER (e.day > p.day - 30), 0) AS DOUBLE) AS duration_30d
+FROM e JOIN p ON e.day <= p.day GROUP BY service, symbol
+"""
 SQL = {
+    "p2_windows": _WINDOWS,
     "p2_type_counts": """
         WITH once AS (SELECT DISTINCT event_id, coalesce(service, service_name) AS service, attributes['symbol'] AS symbol, upper(event_type) AS event_type,
           CASE upper(severity) WHEN 'WARNING' THEN 'WARN' ELSE upper(severity) END AS severity, try_cast(attributes['duration_ms'] AS DECIMAL(18,6)) AS d FROM runtime_events)
         SELECT service, symbol, event_type, severity, count(*) AS n_events, CAST(sum(d) AS DOUBLE) AS duration_total_ms FROM once GROUP BY ALL""",
     "p3_found": _PAIRS + "SELECT target_artifact_id, relationship_type FROM profile WHERE n_edges >= 0.01 * (SELECT sum(n_edges) FROM profile)",
     "p3_profile": _PAIRS + "SELECT * FROM profile",
+    "p4_found": instant_sql.FOUND,
+    "p4_times": instant_sql.ALL,
     "p5_found": _DANGLING + "SELECT ref_table, ref_id, missing_key, kind FROM dangling",
-    "p5_report": _DANGLING + "SELECT ref_table, strftime(ts, '%Y-%m') AS month, kind, count(*) AS n_references, count(DISTINCT missing_key) AS n_keys FROM dangling GROUP BY ALL",
+    "p5_report": _DANGLING + "SELECT ref_table, strftime(ts AT TIME ZONE 'UTC', '%Y-%m') AS month, kind, count(*) AS n_references, count(DISTINCT missing_key) AS n_keys FROM dangling GROUP BY ALL",
     "p6_found": _CHANGES + "SELECT snapshot_id, qualified_name, change FROM changes",
     "p6_counts": _CHANGES + "SELECT snapshot_id, change, count(*) AS n_symbols FROM changes GROUP BY ALL",
 }

@@ -33,12 +33,12 @@ add(
       (SELECT string_agg(s.name, ',' ORDER BY s.name) FROM s WHERE s.snapshot_id = p.snapshot_id AND s.package = p.package) AS sample FROM p GROUP BY p.snapshot_id, p.package""",
 )
 add("agg04_language_share", lambda t: structure.language_share(t.artifacts), "art", "l AS (SELECT snapshot_id, coalesce(nullif(lower(language), ''), 'unknown') AS language, count(*) AS symbols FROM art GROUP BY ALL) +++ SELECT *, 100 * symbols / sum(symbols) OVER (PARTITION BY snapshot_id) AS share FROM l")
-add("agg05_scan_rhythm", lambda t: structure.scan_rhythm(t.snapshots), "snap", "+++ SELECT repository_id, strftime(created_at, '%Y-%m') AS month, (isodow(created_at) - 1)::INT AS weekday, (hour(created_at) // 4)::BIGINT AS bucket, count(*) AS n FROM snap GROUP BY ALL")
+add("agg05_scan_rhythm", lambda t: structure.scan_rhythm(t.snapshots), "snap", "+++ SELECT repository_id, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m') AS month, (isodow(created_at AT TIME ZONE 'UTC') - 1)::INT AS weekday, (hour(created_at AT TIME ZONE 'UTC') // 4)::BIGINT AS bucket, count(*) AS n FROM snap GROUP BY ALL")
 add(
     "agg06_activity_tags",
     lambda t: structure.activity_tags(t.snapshots),
     "snap",
-    """x AS (SELECT repository_id, hour(created_at) AS h, isodow(created_at) - 1 AS d FROM snap WHERE created_at IS NOT NULL),
+    """x AS (SELECT repository_id, hour(created_at AT TIME ZONE 'UTC') AS h, isodow(created_at AT TIME ZONE 'UTC') - 1 AS d FROM snap WHERE created_at IS NOT NULL),
     s AS (SELECT repository_id, count(*) AS n, avg((h >= 22)::INT) AS night, avg((h >= 5 AND h < 9)::INT) AS early, avg((d >= 5)::INT) AS weekend, avg((h >= 9 AND h < 17 AND d < 5)::INT) AS office FROM x GROUP BY 1 HAVING count(*) >= 3)
     +++ SELECT repository_id, n, coalesce(nullif(concat_ws(',', CASE WHEN night >= 0.3 THEN 'night' END, CASE WHEN early >= 0.2 THEN 'early' END, CASE WHEN weekend >= 0.25 THEN 'weekend' END, CASE WHEN office >= 0.4 THEN 'office' END), ''), 'steady') AS tags FROM s""",
 )
