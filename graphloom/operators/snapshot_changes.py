@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import some
 
-COMPARED = ["artifact_type", "signature", "location", "line_end", "source_hash"]
+#: Columns of a row as it is compared: two hashes of what always counts, two of the source hash where there is one.
+CONTENT = ["c1", "c2", "h1", "h2"]
 
 
 def snapshot_pairs(snapshots: DataFrame) -> DataFrame:
@@ -35,17 +36,15 @@ def snapshot_pairs(snapshots: DataFrame) -> DataFrame:
 
 
 def comparable(artifacts: DataFrame) -> DataFrame:
-    """Rows as they are compared: ``sid, name`` and the compared columns in one spelling."""
-    return artifacts.select(
-        F.col("snapshot_id").alias("sid"),
-        some("qualified_name").alias("name"),
-        F.col("id").alias("rid"),
-        "artifact_type",
-        F.coalesce("signature", F.lit("")).alias("signature"),
-        F.translate("location", "\\", "/").alias("location"),
-        "line_end",
-        some("source_hash").alias("source_hash"),
-    ).where("sid is not null and name is not null")
+    """Rows as they are compared: ``sid, name`` and CONTENT, 128 bits each for the fixed part and the source hash.
+
+    Nulls are hashed as a character of their own, so that a value never moves from one column to the next unseen.
+    """
+    known = lambda c: F.coalesce(c.cast("string"), F.lit("\x00"))
+    fixed = [known(F.col("artifact_type")), F.coalesce("signature", F.lit("")), known(F.translate("location", "\\", "/")), known(F.col("line_end"))]
+    digest = some("source_hash")
+    rows = artifacts.select(F.col("snapshot_id").alias("sid"), some("qualified_name").alias("name"), F.xxhash64(*fixed).alias("c1"), F.xxhash64(F.lit(1), *fixed).alias("c2"), F.when(digest.isNotNull(), F.xxhash64(digest)).alias("h1"), F.when(digest.isNotNull(), F.xxhash64(F.lit(1), digest)).alias("h2"))
+    return rows.where("sid is not null and name is not null")
 
 
 def chunk_of(name: Column, depth: int) -> Column:
@@ -55,7 +54,7 @@ def chunk_of(name: Column, depth: int) -> Column:
 
 def _unmatched(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pair, sid, chunk`` of the chunks whose digests differ, for both snapshots of a pair."""
-    content = ["name", *COMPARED]
+    content = ["name", "c1", "c2", *(F.coalesce(c, F.lit(0)) for c in ("h1", "h2"))]
     digests = rows.groupBy("sid", "chunk").agg(
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64(*content)).alias("x"),
@@ -75,17 +74,15 @@ def snapshot_changes(snapshots: DataFrame, artifacts: DataFrame, depth: int = 2)
     Names are compared without blanks around them; null or empty names are no symbols. A null
     signature is empty, either slash is the same, source hashes count only where both snapshots
     have one, nulls equal nulls elsewhere. A name held by several rows of one snapshot is
-    represented by the row of the smallest id, so repeated rows change nothing. Empty tables give no rows.
+    represented by one chosen by content, so repeated rows change nothing. Empty tables give no rows.
     """
     pairs = snapshot_pairs(snapshots)
     rows = comparable(artifacts).withColumn("chunk", chunk_of(F.col("name"), depth))
     left = rows.join(_unmatched(rows, pairs), ["sid", "chunk"])
-    content = F.struct("rid", *COMPARED)
+    content = F.struct(*CONTENT)
     sides = left.groupBy("pair", "name").agg(F.min(F.when(F.col("now"), content)).alias("a"), F.min(F.when(~F.col("now"), content)).alias("b"))
-    differs = ~F.col("a.artifact_type").eqNullSafe(F.col("b.artifact_type"))
-    for c in COMPARED[1:4]:
-        differs = differs | ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    differs = differs | F.coalesce(F.col("a.source_hash") != F.col("b.source_hash"), F.lit(False))
+    other = [F.coalesce(F.col(f"a.{c}") != F.col(f"b.{c}"), F.lit(False)) for c in CONTENT]
+    differs = other[0] | other[1] | other[2] | other[3]
     change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(differs, "changed")
     return sides.select(F.col("pair").alias("snapshot_id"), F.col("name").alias("qualified_name"), change.alias("change")).where("change is not null")
 
