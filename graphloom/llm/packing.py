@@ -11,7 +11,6 @@ Items of containers that stay underfull are packed once more in fewer shards.
 from __future__ import annotations
 
 import base64
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,10 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.words import words
 from graphloom.session import checkpointed
 
-#: Hashed terms of the index. The document frequencies are one number per term: 2 MB at any input size.
+#: Terms of the index are token ids, so the document frequencies are one number per entry of the vocabulary at any input size.
 TERMS = 1 << 18
 #: Tokens per shard, in containers. Bounds a shard's memory whatever the input.
 CONTAINERS_PER_SHARD = 256
@@ -44,39 +42,35 @@ def encoder(path: str = TOKENIZER, pattern: str = PATTERN):
     return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(text: str, path: str = TOKENIZER) -> int:
+def token_ids(text: str, path: str = TOKENIZER) -> np.ndarray:
     """Tokens of a whole text; lone surrogates count as replacement characters."""
     try:
-        return len(encoder(path).encode_ordinary(text))
+        ids = encoder(path).encode_ordinary(text)
     except UnicodeEncodeError:
-        return len(encoder(path).encode_ordinary(text.encode("utf-8", "replace").decode("utf-8")))
+        ids = encoder(path).encode_ordinary(text.encode("utf-8", "replace").decode("utf-8"))
+    return np.array(ids, dtype=np.int32)
 
 
-@lru_cache(maxsize=1 << 17)
-def _term(word: str) -> int:
-    h = 2166136261
-    for c in unicodedata.normalize("NFC", word).encode():
-        h = ((h ^ c) * 16777619) & 0xFFFFFFFF
-    return (h ^ (h >> 14)) % TERMS
+def count_tokens(text: str, path: str = TOKENIZER) -> int:
+    return len(token_ids(text, path))
 
 
 def measured(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, n_tokens, terms`` of every document with a text; ``terms`` are its distinct hashed words."""
+    """``doc_id, n_tokens, terms`` of every document with a text; ``terms`` are its distinct tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes = [count_tokens(t, tokenizer) for t in batch["text"]]
-            terms = [np.unique(np.fromiter(map(_term, set(words(t))), dtype=np.int32)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": sizes, "terms": terms})
+            ids = [token_ids(t, tokenizer) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(i) for i in ids], "terms": [np.unique(i) for i in ids]})
 
     rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInPandas(run, "doc_id bigint, n_tokens bigint, terms array<int>")
 
 
 def document_frequencies(sizes: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Documents per hashed term over all documents, their number, and their tokens; at most TERMS rows reach the driver."""
+    """Documents per term over all documents, their number, and their tokens; at most one row per vocabulary entry reaches the driver."""
     counts = sizes.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    out = np.zeros(TERMS)
+    out = np.zeros(max(TERMS, int(counts["t"].max()) + 1 if len(counts) else 0))
     out[counts["t"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=float)
     n, total = sizes.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
     return out, n or 0, total or 0
@@ -96,6 +90,14 @@ def full_pieces(sizes: DataFrame, capacity: int) -> DataFrame:
     return cut.select(name.alias("container_id"), F.lit(capacity).cast("bigint").alias("capacity"), F.lit(0).alias("position"), "doc_id", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("token_start"), F.lit(capacity).cast("bigint").alias("n_tokens"))
 
 
+def _best_first(score: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the ``most`` highest scores in order (all of them if there are no more), ties by position."""
+    if len(score) <= most:
+        return np.argsort(-score, kind="stable")
+    top = np.sort(np.argpartition(-score, most)[:most])
+    return top[np.argsort(-score[top], kind="stable")]
+
+
 def fill(sizes: np.ndarray, terms: list[np.ndarray], idf: np.ndarray, capacity: int, small: float = 0.3) -> list[list[int]]:
     """Containers of item positions. ``small``: share of the capacity below which room goes to the best-fitting item."""
     n = len(sizes)
@@ -134,15 +136,20 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], idf: np.ndarray, capacity:
                 pick = int(fits[0])
             else:
                 if ranked is None:
-                    score = np.zeros(n)
-                    for t in local[starts[seed] : starts[seed + 1]]:
-                        score[posted[bounds[t] : bounds[t + 1]]] += weight[bounds[t] : bounds[t + 1]]
+                    own = local[starts[seed] : starts[seed + 1]]
+                    low, many = bounds[own], bounds[own + 1] - bounds[own]
+                    index = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    score = np.bincount(posted[index], weights=weight[index], minlength=n)
+                    ranked, at = _best_first(score, 64), 0
+                if at == len(ranked) < n:
                     ranked = np.argsort(-score, kind="stable")
                     at = 0
-                while at < n and not (unused[ranked[at]] and sizes[ranked[at]] <= room):
+                while at < len(ranked) and not (unused[ranked[at]] and sizes[ranked[at]] <= room):
                     at += 1
                 if at == n:
                     break
+                if at == len(ranked):
+                    continue
                 pick = int(ranked[at])
             unused[pick] = False
             taken.append(pick)

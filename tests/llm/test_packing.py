@@ -67,7 +67,7 @@ def test_shapes(frame):
 
 def test_measured_terms(frame):
     (row,) = measured(docs(frame, (1, "One one two"))).collect()
-    assert row.n_tokens == count_tokens("One one two") and len(row.terms) == 2
+    assert row.n_tokens == count_tokens("One one two") and len(row.terms) == 3
 
 
 def test_seed_takes_its_neighbours():
