@@ -104,6 +104,33 @@ def architecture_factors(rails: DataFrame) -> DataFrame:
     return rails.groupBy("snapshot_id").agg(F.max(F.when(F.col("status") == "VIOLATION", 80.0).otherwise(40.0)).alias("factor"))
 
 
+#: Weights of the factors of a change.
+WEIGHTS = {"IMPACT_BREADTH": 1.1, "IMPACT_DEPTH": 0.8, "TEST_IMPACT": 1.2}
+
+
+def risk_factors(summary: DataFrame, selection: DataFrame) -> DataFrame:
+    """RSK-01, RSK-02, RSK-03: ``pair, factor, score, applies`` of each pair.
+
+    Breadth by the number changed and affected, depth by the longest path, tests by those to run (45 where none is mapped).
+    Breadth and depth of 0 do not apply.
+    """
+    rows = summary.join(selection.select("pair", F.col("direct").alias("t_direct"), (F.col("to_run") - F.col("direct")).alias("t_indirect"), (F.col("to_run") + F.col("to_skip")).alias("mapped")), "pair", "left")
+    n, d = F.col("changed") + F.col("direct") + F.col("indirect"), F.col("max_depth")
+    breadth = F.when(n == 0, 0.0).when(n <= 3, 20.0).when(n <= 8, 50.0).when(n <= 15, 75.0).otherwise(95.0)
+    depth = F.when(d == 0, 0.0).when(d == 1, 15.0).when(d == 2, 40.0).when(d == 3, 70.0).otherwise(90.0)
+    tests = F.when(F.coalesce("mapped", F.lit(0)) == 0, 45.0).otherwise(F.least(F.lit(60.0), 15.0 * F.col("t_direct") + 5.0 * F.col("t_indirect")))
+    entries = [F.struct(F.lit(name).alias("factor"), score.alias("score"), applies.alias("applies")) for name, score, applies in (("IMPACT_BREADTH", breadth, n > 0), ("IMPACT_DEPTH", depth, d > 0), ("TEST_IMPACT", tests, F.lit(True)))]
+    return rows.select("pair", F.explode(F.array(*entries)).alias("f")).select("pair", "f.*")
+
+
+def combined_risk(factors: DataFrame) -> DataFrame:
+    """RSK-10: per pair the weighted mean of the factors that apply, and its category."""
+    weight = _named(F.col("factor"), {k: str(v) for k, v in WEIGHTS.items()}).cast("double")
+    sums = factors.where("applies").groupBy("pair").agg(F.round(F.sum(F.col("score") * weight) / F.sum(weight), 6).alias("score"), F.max(F.when(F.col("factor") == "IMPACT_BREADTH", F.col("score"))).alias("breadth"))
+    category = F.when(F.col("score") >= 75, "CRITICAL").when((F.col("score") >= 50) | (F.col("breadth") >= 75), "HIGH").when((F.col("score") >= 25) | (F.col("breadth") >= 40), "MODERATE").otherwise("LOW")
+    return sums.select("pair", "score", category.alias("category"))
+
+
 def factor_buckets(factors: DataFrame) -> DataFrame:
     """RSK-13: factors (``pair, factor, score``) summed by bucket: tests, guardrails, incidents, structure."""
     name = F.upper("factor")

@@ -69,4 +69,17 @@ add("msc07_latest_snapshots", lambda t: analysis.latest_per_repository(once(t.sn
 add("sim09_plans", lambda t: analysis.scenario_plans(once(t.incidents).select(F.col("id").alias("ident"), F.col("title").alias("text"))), "inc", r"""x AS (SELECT id AS ident, title AS t, CASE WHEN regexp_matches(lower(title), 'traffic|load|capacity|spike|concurren') THEN 'CAPACITY_LOAD_SPIKE' WHEN regexp_matches(lower(title), 'remov|delet|drop|outage|shut') THEN 'REMOVE_COMPONENT' WHEN regexp_matches(lower(title), 'depend|import|connect') THEN 'ADD_DEPENDENCY' WHEN regexp_matches(lower(title), '\bapi\b|endpoint|route') THEN 'MODIFY_API' ELSE 'MODIFY_SYMBOL' END AS intent,
   coalesce(nullif(regexp_extract(title, '["''`]([^"''`]+)["''`]', 1), ''), nullif(regexp_extract(title, '\b([\w/-]+\.(?:py|ts|js|java|go|sql|cbl))\b', 1), ''), nullif(regexp_extract(title, '\b([A-Za-z]\w*(?:[._]\w+)+)', 1), ''), nullif(regexp_extract(title, '\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+)\b', 1), '')) AS target FROM inc WHERE title IS NOT NULL)
   +++ SELECT ident, intent, target, CASE WHEN intent = 'CAPACITY_LOAD_SPIKE' THEN 'NOT_EVALUATED' WHEN target IS NULL THEN 'UNRESOLVED' ELSE 'PLANNED' END AS status FROM x""")
+_FACTORS = f"""s AS ({IMPACT_SQL['trv05_impact_summary']}), sel AS ({IMPACT_SQL['tst09_test_selection']}),
+x AS (SELECT s.*, changed + s.direct + indirect AS n, sel.direct AS td, to_run - sel.direct AS ti, coalesce(to_run + to_skip, 0) AS mapped FROM s LEFT JOIN sel ON sel.pair = s.pair),
+fac AS (SELECT pair, 'IMPACT_BREADTH' AS factor, (CASE WHEN n = 0 THEN 0 WHEN n <= 3 THEN 20 WHEN n <= 8 THEN 50 WHEN n <= 15 THEN 75 ELSE 95 END)::DOUBLE AS score, n > 0 AS applies FROM x
+  UNION ALL SELECT pair, 'IMPACT_DEPTH', (CASE max_depth WHEN 0 THEN 0 WHEN 1 THEN 15 WHEN 2 THEN 40 WHEN 3 THEN 70 ELSE 90 END)::DOUBLE, max_depth > 0 FROM x UNION ALL SELECT pair, 'TEST_IMPACT', (CASE WHEN mapped = 0 THEN 45 ELSE least(60, 15 * td + 5 * ti) END)::DOUBLE, true FROM x)"""
+
+
+def _factors(t):
+    return analysis.risk_factors(_summary(t), _selection(t))
+
+
+add("rsk01_factors", _factors, "", f"WITH {_FACTORS} SELECT * FROM fac")
+add("rsk10_pair_risk", lambda t: analysis.combined_risk(_factors(t)), "", f"WITH {_FACTORS}, w AS (SELECT *, CASE factor WHEN 'IMPACT_BREADTH' THEN 1.1 WHEN 'IMPACT_DEPTH' THEN 0.8 ELSE 1.2 END::DOUBLE AS weight FROM fac WHERE applies), g AS (SELECT pair, round(sum(score * weight) / sum(weight), 6) AS score, max(score) FILTER (factor = 'IMPACT_BREADTH') AS breadth FROM w GROUP BY 1) SELECT pair, score, CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 50 OR breadth >= 75 THEN 'HIGH' WHEN score >= 25 OR breadth >= 40 THEN 'MODERATE' ELSE 'LOW' END AS category FROM g")
+add("rsk13_buckets", lambda t: analysis.factor_buckets(_factors(t)), "", f"WITH {_FACTORS} SELECT pair, CASE factor WHEN 'TEST_IMPACT' THEN 'tests' ELSE 'structure' END AS bucket, sum(score) AS score FROM fac GROUP BY ALL")
 QUERIES, SQL = CATALOG.queries, CATALOG.sql

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import evaluation, impact, lookup, traversal, views, whatif
+from graphloom.operators import evaluation, lookup, traversal, views, whatif
 from graphloom.operators.graph import once
 from graphloom.plans.catalog import Catalog
-from graphloom.plans.impact_queries import SQL as IMPACT_SQL
 from graphloom.plans.impact_queries import _CHANGES, _DEGREES, _IMPACT, _reach_sql, changes, findings, node_table
-from graphloom.session import checkpointed
 
 CATALOG = Catalog()
-SUMMARY_SQL = IMPACT_SQL["trv05_impact_summary"]
 add = CATALOG.add
 _FILE = "split_part(replace(location, '\\', '/'), ':', 1)"
 _MACRO = "('PACKAGE','DIRECTORY','SERVICE','DATABASE','API_ENDPOINT','DOCKER_STAGE','SQL_TABLE','DATABASE_TABLE')"
@@ -113,26 +110,4 @@ add("jn17_path_steps", lambda t: evaluation.path_steps(findings(t), once(t.edges
   +++ SELECT h.graph, h.root, h.node, count(*) AS hops, count(k.a) AS backed FROM h LEFT JOIN k ON k.snapshot_id = h.graph AND k.a = least(path[i], path[i + 1]) AND k.b = greatest(path[i], path[i + 1]) GROUP BY ALL""")
 
 
-def _risk(t):
-    """RSK-01, RSK-02, RSK-03, RSK-10: breadth, depth and test factors of each pair and their weighted mean."""
-    changed = changes(t)
-    found = checkpointed(findings(t, changed))
-    summary = impact.impact_summary(changed, found, node_table(t))
-    n = F.col("changed") + F.col("direct") + F.col("indirect")
-    breadth = F.when(n == 0, 0.0).when(n <= 3, 20.0).when(n <= 8, 50.0).when(n <= 15, 75.0).otherwise(95.0)
-    d = F.col("max_depth")
-    depth = F.when(d == 0, 0.0).when(d == 1, 15.0).when(d == 2, 40.0).when(d == 3, 70.0).otherwise(90.0)
-    surface = F.when(F.col("n_api") > 0, 50.0).otherwise(0.0)
-    rows = summary.select("pair", breadth.alias("breadth"), depth.alias("depth"), surface.alias("surface"))
-    return rows.withColumn("score", (F.col("breadth") * 1.1 + F.when(F.col("depth") > 0, F.col("depth") * 0.8).otherwise(0.0) + F.col("surface") * 1.2) / (1.1 + F.when(F.col("depth") > 0, 0.8).otherwise(0.0) + 1.2)).withColumn("score", F.round("score", 6))
-
-
-add(
-    "rsk10_pair_risk",
-    _risk,
-    "",
-    f"""WITH s AS ({SUMMARY_SQL}), f AS (SELECT pair, (CASE WHEN changed + direct + indirect = 0 THEN 0 WHEN changed + direct + indirect <= 3 THEN 20 WHEN changed + direct + indirect <= 8 THEN 50 WHEN changed + direct + indirect <= 15 THEN 75 ELSE 95 END)::DOUBLE AS breadth,
-      (CASE max_depth WHEN 0 THEN 0 WHEN 1 THEN 15 WHEN 2 THEN 40 WHEN 3 THEN 70 ELSE 90 END)::DOUBLE AS depth, (CASE WHEN n_api > 0 THEN 50 ELSE 0 END)::DOUBLE AS surface FROM s)
-      SELECT *, round((breadth * 1.1::DOUBLE + CASE WHEN depth > 0 THEN depth * 0.8::DOUBLE ELSE 0 END + surface * 1.2::DOUBLE) / (1.1::DOUBLE + CASE WHEN depth > 0 THEN 0.8::DOUBLE ELSE 0 END + 1.2::DOUBLE), 6) AS score FROM f""",
-)
 QUERIES, SQL = CATALOG.queries, CATALOG.sql
