@@ -51,22 +51,12 @@ def _edge_orphans(edges: DataFrame, artifacts: DataFrame, external: DataFrame, s
     records = artifacts.select(key("id").alias("k"), F.coalesce("snapshot_id", F.lit("")).alias("s")).where("k is not null")
     found = orphans(merged_state([deltas(refs, ["k", "s"], references=1), deltas(records, ["k", "s"], existence=1)], ["k", "s"])).select("k", "s")
     times = snapshots.groupBy(F.col("id").alias("s")).agg(F.min("created_at").alias("at"))
-    elsewhere = records.withColumnRenamed("s", "record_s").withColumn("in_artifacts", F.lit(True))
-    placed = (
-        found.join(elsewhere, "k", "left")
-        .join(times, "s", "left")
-        .join(times.select(F.col("s").alias("record_s"), F.col("at").alias("record_at")), "record_s", "left")
-        .groupBy("k", "s")
-        .agg(
-            F.first("at").alias("at"),
-            F.coalesce(F.bool_or("in_artifacts"), F.lit(False)).alias("known"),
-            F.coalesce(F.bool_or(F.col("record_at") < F.col("at")), F.lit(False)).alias("before"),
-            F.coalesce(F.bool_or(F.col("record_at") > F.col("at")), F.lit(False)).alias("after"),
-            F.coalesce(F.bool_or(F.col("record_at") == F.col("at")), F.lit(False)).alias("same"),
-        )
-        .where("not same")
-    )
-    kind = F.when(~F.col("known"), "missing").when(F.col("after") & ~F.col("before"), "late").otherwise("deleted")
+    seen = records.join(found.select("k").distinct(), "k", "left_semi").join(times.select("s", F.col("at").alias("record_at")), "s", "left").select("k", "record_at")
+    bounds = seen.groupBy("k").agg(F.min("record_at").alias("first_at"), F.max("record_at").alias("last_at"), F.lit(True).alias("known"))
+    same = seen.where("record_at is not null").select("k", F.col("record_at").alias("at")).distinct()
+    placed = found.join(times, "s", "left").join(same, ["k", "at"], "left_anti").join(bounds, "k", "left")
+    late = (F.col("last_at") > F.col("at")) & ~(F.col("first_at") < F.col("at"))
+    kind = F.when(F.col("known").isNull(), "missing").when(late, "late").otherwise("deleted")
     back = refs.join(placed.select("k", "s", "at", kind.alias("kind")), ["k", "s"])
     return back.select(F.lit("edges").alias("ref_table"), "ref_id", F.col("k").alias("missing_key"), "kind", F.col("at").alias("period_at"))
 
