@@ -18,24 +18,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Function words of English, German, French and Spanish.
-FUNCTION_WORDS = set(
-    "the a an of to in on at by for from with without and or but nor so if then than that this these those which who whom whose what when where why how is are was were be been being am "
-    "it its he she they them their we us our you your i my me as not no only all any both each every some such can could may might must shall should will would do does did has have had "
-    "into onto over under after before since until while because although though through during between among about against there here out up down off again still yet "
-    "der die das den dem des ein eine einen einem einer eines und oder aber nicht kein keine ist sind war waren wird werden wurde wurden hat haben hatte zu zum zur im in am an auf aus bei mit nach von vor für über unter durch "
-    "wir ihr sie er es ich uns noch nur auch als wie wenn dass weil bis seit sich so dort hier alle jede jeder "
-    "le la les l un une des du de d et ou mais ne pas plus est sont était été être a ont avait au aux en dans sur sous par pour avec sans ce cette ces cet qui que qu quoi dont où il elle ils elles nous vous on se sa son ses leur leurs "
-    "el los las una unos unas y o pero no es son fue fueron ser está están ha han había al del en con sin por para sobre entre desde hasta que quien cual cuando donde como se su sus lo le les nos ya muy más".split()
-)
-#: Words put on pages to be found by buyers.
-PROMOTIONAL = set(
-    "best top cheap cheapest free freeware premium pro trusted secure fast instant easy online official number-one discount deal deals coupon coupons promo price prices pricing buy sale offer offers order shop "
-    "crack cracked keygen serial download downloads demo trial login signup review reviews compare comparison alternative alternatives support tutorial license near-me bundle sku edition pack plan 2026 2025 2024 "
-    "kaufen billig günstig günstige kostenlos gratis angebot angebote preis preise rabatt vergleich werkzeug herunterladen "
-    "acheter gratuit gratuite pas-cher offre offres prix remise promotion télécharger licence outil "
-    "comprar barato barata oferta ofertas precio precios descuento descargar licencia herramienta".split()
-)
+#: Function words by language.
+FUNCTION_WORDS_OF = {
+    "en": (
+        "the a an of to in on at by for from with without and or but nor so if then than that this these those which who whom whose what when where why how is are was were be been being am "
+        "it its he she they them their we us our you your i my me as not no only all any both each every some such can could may might must shall should will would do does did has have had "
+        "into onto over under after before since until while because although though through during between among about against there here out up down off again still yet"
+    ),
+    "de": (
+        "der die das den dem des ein eine einen einem einer eines und oder aber nicht kein keine ist sind war waren wird werden wurde wurden hat haben hatte zu zum zur im in am an auf aus bei mit nach von vor für über unter durch "
+        "wir ihr sie er es ich uns noch nur auch als wie wenn dass weil bis seit sich so dort hier alle jede jeder"
+    ),
+    "fr": (
+        "le la les l un une des du de d et ou mais ne pas plus est sont était été être a ont avait au aux en dans sur sous par pour avec sans ce cette ces cet qui que qu quoi dont où il elle ils elles nous vous on se sa son ses leur leurs"
+    ),
+    "es": (
+        "el los las una unos unas y o pero no es son fue fueron ser está están ha han había al del en con sin por para sobre entre desde hasta que quien cual cuando donde como se su sus lo le les nos ya muy más"
+    ),
+}
+#: Words put on pages to be found by buyers, by language.
+PROMOTIONAL_OF = {
+    "en": (
+        "best top cheap cheapest free freeware premium pro trusted secure fast instant easy online official number-one discount deal deals coupon coupons promo price prices pricing buy sale offer offers order shop "
+        "crack cracked keygen serial download downloads demo trial login signup review reviews compare comparison alternative alternatives support tutorial license near-me bundle sku edition pack plan 2026 2025 2024"
+    ),
+    "de": (
+        "kaufen billig günstig günstige kostenlos gratis angebot angebote preis preise rabatt vergleich werkzeug herunterladen"
+    ),
+    "fr": (
+        "acheter gratuit gratuite pas-cher offre offres prix remise promotion télécharger licence outil"
+    ),
+    "es": (
+        "comprar barato barata oferta ofertas precio precios descuento descargar licencia herramienta"
+    ),
+}
+FUNCTION_WORDS = {w for words in FUNCTION_WORDS_OF.values() for w in words.split()}
+PROMOTIONAL = {w for words in PROMOTIONAL_OF.values() for w in words.split()}
 LEAST_WORDS = 5
 
 _ANCHOR = re.compile(r"<a\s[^<>]*?href\s*=\s*[\"']?([^\"'\s<>]+)[\"']?[^<>]*>([^<]*(?:<(?!/?a\b)[^<]*)*)</a>", re.I)
