@@ -27,13 +27,13 @@ FUNCTION_WORDS_OF = {
     ),
     "de": (
         "der die das den dem des ein eine einen einem einer eines und oder aber nicht kein keine ist sind war waren wird werden wurde wurden hat haben hatte zu zum zur im in am an auf aus bei mit nach von vor für über unter durch "
-        "wir ihr sie er es ich uns noch nur auch als wie wenn dass weil bis seit sich so dort hier alle jede jeder"
+        "wir ihr sie er es ich uns noch nur auch als wie wenn dass weil bis seit sich so dort hier alle jede jeder wer sollte sollten zuerst muss kann soll damit davon doch seine ihre diese dieser dieses"
     ),
     "fr": (
-        "le la les l un une des du de d et ou mais ne pas plus est sont était été être a ont avait au aux en dans sur sous par pour avec sans ce cette ces cet qui que qu quoi dont où il elle ils elles nous vous on se sa son ses leur leurs"
+        "le la les l un une des du de d et ou mais ne pas plus est sont était été être a ont avait au aux en dans sur sous par pour avec sans ce cette ces cet qui que qu quoi dont où il elle ils elles nous vous on se sa son ses leur leurs il afin depuis lorsque chaque tout très déjà"
     ),
     "es": (
-        "el los las una unos unas y o pero no es son fue fueron ser está están ha han había al del en con sin por para sobre entre desde hasta que quien cual cuando donde como se su sus lo le les nos ya muy más"
+        "el los las una unos unas y o pero no es son fue fueron ser está están ha han había al del en con sin por para sobre entre desde hasta que quien cual cuando donde como se su sus lo le les nos ya muy más cada todo todas antes después también solo hay"
     ),
 }
 #: Words put on pages to be found by buyers, by language.
@@ -119,7 +119,8 @@ class _Unit:
 
     def sentence(self) -> bool:
         n = len(self.words)
-        return n >= 4 and self.function >= 0.17 * n
+        closed = self.text.endswith((".", "!", "?", ":", ";", ","))
+        return n >= (6 if self.links else 4) and self.function >= (1 if closed else 2) and self.function >= 0.17 * n
 
 
 def _keyworded(units: list[_Unit]) -> bool:
@@ -140,6 +141,8 @@ def _keyworded(units: list[_Unit]) -> bool:
     counts = Counter(words)
     if links:
         return len(words) >= 20 and len(counts) <= 0.35 * len(words)
+    if sum(u.text.endswith((".", "!", "?")) for u in units) > len(units) / 2 and sum(u.function for u in units) >= 0.05 * len(words):
+        return False  # notes and sentences may repeat themselves
     plain = [w for w in words if not w[0].isdigit()]
     top = sum(n for _, n in Counter(plain).most_common(3))
     return len(plain) >= 15 and (top >= 0.4 * len(plain) or len(set(plain)) <= 0.3 * len(plain))
@@ -148,7 +151,7 @@ def _keyworded(units: list[_Unit]) -> bool:
 def _stuffed(unit: _Unit) -> bool:
     """A sentence in form only: too many promotional and too few function words for prose."""
     n = len(unit.words)
-    return n >= 4 and unit.promotional >= 3 and (unit.promotional >= 0.5 * n or unit.promotional >= 0.2 * n and unit.function <= 0.36 * n)
+    return n >= 4 and unit.promotional >= 3 and (unit.promotional >= 0.5 * n or unit.promotional >= 0.2 * n and unit.function <= 0.33 * n)
 
 
 def spam_share(text: str | None) -> float:

@@ -10,6 +10,9 @@ SPAM = {
     "places": " ".join(f"log monitor {a} {b}" for a in ("amber", "coral", "dusky", "fern", "hazel") for b in ("port", "town", "city")),
     "bare links": "\n".join(f"https://amber{i}.example/node-{i}?ref={i}" for i in range(12)),
     "labelled links": "\n".join(f"- [best log monitor](http://cedar{i}.test/a-{i})" for i in range(9)),
+    "Spanish links": "\n".join(f"* free análisis de impacto: https://fern{i}.example/x" for i in range(9)),
+    "German keywords": "Abhängigkeiten prüfen günstig, Abhängigkeiten prüfen kaufen Abhängigkeiten prüfen. Abhängigkeiten prüfen Lizenz, Abhängigkeiten prüfen Lizenz prüfen. " * 6,
+    "Spanish lines": "\n".join(f"{a} análisis de impacto {b}" for a in ("instant", "secure", "free") for b in ("crack", "login", "trial")),
     "anchors": "<ul>" + "".join(f'<a href="https://fern{i}.example/x">api catalog price</a>' for i in range(9)),
     "hashtags": "#logmonitor #trace_viewer #apicatalog #bestlogmonitor #planner #checker",
     "cloud": "log-monitor(12) trace-viewer(44) api-catalog(7) planner(3) checker(91)",
@@ -20,8 +23,10 @@ SPAM = {
 }
 WORKING = {
     "prose": PROSE,
+    "repeated German notes": "Wer close_path ändert, sollte zuerst die 2 Aufrufer ansehen. Wer open_zone ändert, sollte zuerst die 17 Aufrufer ansehen. Wer lock_item ändert, sollte zuerst die 5 Aufrufer ansehen. " * 3,
     "repeated note": "Confidence for this finding is low since the call is resolved by name only. " * 6,
     "decoys": "You can download the log monitor from the shop page after login, but the demo build lacks the price view. Support wrote a short tutorial on how the free planner treats the license of the editor.",
+    "review": "In my review the best result came from trim_cluster, and the free plan dashboard we tried first missed 414 calls.",
     "code": "```\ndef buy(price, limit=3):\n    if not price:\n        return None\n    return cheap(price)\n```",
     "log": "\n".join(f"06:07:{i:02d} WARN price_batch ok ({i} ms)" for i in range(30)),
     "tests": "\n".join(f"test_price_{i} PASSED {i} ms" for i in range(30)),
