@@ -24,7 +24,7 @@ def micro_average(per_case: DataFrame) -> DataFrame:
     return with_scores(per_case.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))))
 
 
-def independent(labels: DataFrame, forbidden: str = "(?i)prediction|twin_output|self_generated|model_output") -> DataFrame:
+def independent(labels: DataFrame, forbidden: str = "(?i)prediction|system_output|self_generated|model_output") -> DataFrame:
     """EVL-02: cases whose labels may be used: non-empty, flagged independent, provenance free of the system's own output."""
     rows = labels.groupBy("case_id").agg(F.bool_and("is_independent").alias("a"), F.bool_and(~F.coalesce("source", F.lit("")).rlike(forbidden)).alias("b"), F.count("entity").alias("n"))
     return rows.where("a and b and n > 0").select("case_id")

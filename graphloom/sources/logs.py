@@ -62,8 +62,8 @@ def hunks(diffs: DataFrame) -> DataFrame:
     return rows.select("path", first.alias("first_line"), (first + F.greatest(count, F.lit(1)) - 1).alias("last_line"))
 
 
-def labels(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-14: label files with an ``items`` array as rows."""
-    schema = "case_id string, evaluation_mode string, ground_truth_independent_of_twin boolean, items array<struct<entity:string,label:string,source:string,method:string,confidence:double>>"
+def labels(spark: SparkSession, path: str, flag: str = "is_independent") -> DataFrame:
+    """SRC-14: label files with an ``items`` array as rows; ``flag`` names the field that calls the labels independent."""
+    schema = f"case_id string, evaluation_mode string, `{flag}` boolean, items array<struct<entity:string,label:string,source:string,method:string,confidence:double>>"
     rows = spark.read.schema(schema).option("multiLine", "true").json(path)
-    return rows.select("case_id", F.col("ground_truth_independent_of_twin").alias("is_independent"), F.explode_outer("items").alias("i")).select("case_id", "is_independent", "i.*")
+    return rows.select("case_id", F.col(flag).alias("is_independent"), F.explode_outer("items").alias("i")).select("case_id", "is_independent", "i.*")

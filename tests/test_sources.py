@@ -79,7 +79,7 @@ def test_git_texts(frame, spark, tmp_path):
     assert tuples(ancestors(rows), "commit_sha", "ancestor") == [("c2", "c0"), ("c2", "c1")]
     assert tuples(name_status(frame("value string", ("A\tx.py",), ("R090\told.py\tnew.py",), ("?",)))) == [("ADDED", "x.py", None), ("RENAMED", "new.py", "old.py")]
     assert tuples(hunks(frame("path string, text string", ("a", "@@ -1,2 +3,4 @@ f\n+x\n@@ -9 +12 @@\n@@ -20,3 +19,0 @@")))) == [("a", 12, 12), ("a", 19, 19), ("a", 3, 6)]
-    (tmp_path / "l.json").write_text('{"case_id": "c", "ground_truth_independent_of_twin": true, "items": [{"entity": "a", "source": "human"}]}')
+    (tmp_path / "l.json").write_text('{"case_id": "c", "is_independent": true, "items": [{"entity": "a", "source": "human"}]}')
     assert tuples(labels(spark, str(tmp_path / "l.json")), "case_id", "is_independent", "entity") == [("c", True, "a")]
 
 

@@ -57,7 +57,7 @@ def test_evaluation(frame):
     rows = evaluation.confusion(frame(case, ("c", "a"), ("c", "b"), ("c", "b"), ("d", "x")), frame(case, ("c", "b"), ("c", "z"), ("e", "y")))
     assert tuples(rows, "case_id", "tp", "fp", "fn", "precision", "recall", "f1") == [("c", 1, 1, 1, 0.5, 0.5, 0.5), ("d", 0, 1, 0, 0.0, 0.0, 0.0), ("e", 0, 0, 1, 0.0, 0.0, 0.0)]
     assert tuples(evaluation.micro_average(rows), "tp", "fp", "fn") == [(1, 2, 2)]
-    labels = frame("case_id string, entity string, source string, is_independent boolean", ("a", "x", "human", True), ("b", "x", "twin_output", True), ("c", "x", None, False), ("d", None, "human", True))
+    labels = frame("case_id string, entity string, source string, is_independent boolean", ("a", "x", "human", True), ("b", "x", "system_output", True), ("c", "x", None, False), ("d", None, "human", True))
     assert tuples(evaluation.independent(labels)) == [("a",)]
     steps = evaluation.path_steps(frame("graph string, root string, node string, path array<string>", ("s", "a", "c", ["a", "b", "c"])), frame(EDGES, edge("1", "b", "a"), edge("2", "b", "z")))
     assert tuples(steps) == [("s", "a", "c", 2, 1)]
