@@ -37,7 +37,7 @@ def placeholder_map(artifacts: DataFrame, external: DataFrame) -> DataFrame:
     of ``src.a.b`` or the only one of that file stem, else the only one of its name, the only one whose file
     stem is the last part of its path, the only one whose name is its last dotted part. Placeholders that fit none, or several, stay.
     """
-    concrete = once(artifacts).where("artifact_type <> 'EXTERNAL_DEPENDENCY'").select("snapshot_id", "id", "name", "qualified_name", F.regexp_extract("location", r"([^/\\:]+?)(?:\.[^./\\:]*)?(?::\d+)?$", 1).alias("stem"))
+    concrete = artifacts.where("artifact_type <> 'EXTERNAL_DEPENDENCY'").select("snapshot_id", "id", "name", "qualified_name", F.regexp_extract("location", r"([^/\\:]+?)(?:\.[^./\\:]*)?(?::\d+)?$", 1).alias("stem"))
     outside = once(external).where("artifact_type = 'EXTERNAL_DEPENDENCY'").select(F.col("id").alias("placeholder"), F.col("name").alias("p_name"), F.col("qualified_name").alias("p_qualified"))
     outside = bounded_broadcast(outside)
     aliased = F.col("p_qualified").startswith("@/")
@@ -52,9 +52,9 @@ def placeholder_map(artifacts: DataFrame, external: DataFrame) -> DataFrame:
     ]
     parts = []
     for rank, column, wanted in keys:
-        unique = concrete.groupBy("snapshot_id", column).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("concrete")).where("n = 1")
         names = outside.select("placeholder", wanted.alias("wanted")).where("wanted is not null")
-        parts.append(unique.join(names, F.col(column) == F.col("wanted")).select("snapshot_id", "placeholder", F.struct(F.lit(rank), "concrete").alias("c")))
+        hits = concrete.join(names, F.col(column) == F.col("wanted")).groupBy("snapshot_id", "placeholder").agg(F.min("id").alias("concrete"), F.max("id").alias("last"))
+        parts.append(hits.where("concrete = last").select("snapshot_id", "placeholder", F.struct(F.lit(rank), "concrete").alias("c")))
     return reduce(DataFrame.unionByName, parts).groupBy("snapshot_id", "placeholder").agg(F.min("c").getField("concrete").alias("concrete"))
 
 
