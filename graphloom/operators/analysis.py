@@ -12,7 +12,7 @@ from graphloom.functions.graph import is_test, path_of
 from graphloom.operators import conformance, impact
 from graphloom.operators.graph import adjacency, nodes, once, placeholder_map
 from graphloom.operators.review import live_changes
-from graphloom.operators.traversal import cycles, forward_of, reach
+from graphloom.operators.traversal import components, plain_links, reach
 from graphloom.session import checkpointed
 from graphloom.sources.baseline import Baseline
 
@@ -86,14 +86,17 @@ def caller_scores(roots: DataFrame, edges: DataFrame, node_table: DataFrame, max
 
 
 def guardrails(artifacts: DataFrame, edges: DataFrame, node_table: DataFrame, baseline: Baseline | None) -> DataFrame:
-    """ARC-03: per snapshot the guardrails that are hit: layer rules (or inversions without a baseline), cycles, coupling, test debt."""
+    """ARC-03: per snapshot the guardrails that are hit: layer rules (or inversions without a baseline), cycles, coupling, test debt.
+
+    ``n`` of CYCLES is the number of cyclic components (of cycles of any length), which is exact; the number of simple cycles is exponential.
+    """
     from graphloom.operators.structure import fan_outs
 
     def counted(rows: DataFrame, name: str, status: str) -> DataFrame:
         return rows.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n")).select("snapshot_id", F.lit(name).alias("guardrail"), F.lit(status).alias("status"), "n")
 
     layers = conformance.drift(edges, node_table, baseline) if baseline is not None else conformance.inversions(edges, node_table)
-    loops = cycles(forward_of(once(edges), ["CALLS", "IMPORTS", "DEPENDS_ON", "REFERENCES"]), 3).withColumnRenamed("graph", "snapshot_id")
+    loops = components(plain_links(edges, ["CALLS", "IMPORTS", "DEPENDS_ON", "REFERENCES"])).where("node = component").withColumnRenamed("graph", "snapshot_id")
     debt = conformance.test_debt(artifacts, edges).where("verdict <> 'PASS'").select("snapshot_id", F.lit("TEST_DEBT").alias("guardrail"), F.col("verdict").alias("status"), F.col("untested").alias("n"))
     parts = [counted(layers, "LAYERS", "VIOLATION"), counted(loops, "CYCLES", "VIOLATION"), counted(fan_outs(artifacts, edges), "COUPLING", "WARN"), debt]
     return reduce(DataFrame.unionByName, parts)

@@ -64,6 +64,60 @@ def cycles(adjacency: DataFrame, max_length: int = 4) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def _trimmed(links: DataFrame) -> DataFrame:
+    """``links`` without those that lie on no cycle because nothing enters their source or leaves their target; may keep links between cycles."""
+    left = None
+    while left != 0:
+        entered = links.select("graph", F.col("dst").alias("src")).distinct()
+        going = links.select("graph", F.col("src").alias("dst")).distinct()
+        links = checkpointed(links.join(entered, ["graph", "src"], "left_semi").join(going, ["graph", "dst"], "left_semi").select("graph", "src", "dst"))
+        before, left = left, links.count()
+        if left == before:
+            break
+    return links.distinct()
+
+
+def components(adjacency: DataFrame) -> DataFrame:
+    """TRV-16: ``graph, component, node, size`` of the nodes on directed cycles of any length; a component has the name of its smallest node.
+
+    Exact: components are strongly connected and have 2 nodes or more. After links on no cycle are trimmed, every node takes the
+    smallest node that reaches it, level by level; the nodes that lead back to this name within it are one component. They leave, and
+    the rest is done again until no link is left. Each step is one checkpointed join; steps grow with the longest path, not with the number of cycles.
+    """
+    links = adjacency.select("graph", "src", "dst").where("graph is not null and src <> dst")
+    empty = links.select("graph", F.col("src").alias("component"), F.col("src").alias("node"), F.lit(0).cast("bigint").alias("size")).limit(0)
+    out = [empty]
+    while not (links := checkpointed(_trimmed(links))).isEmpty():
+        labels = checkpointed(links.select("graph", F.col("src").alias("node"), F.col("src").alias("component")).unionByName(links.select("graph", F.col("dst").alias("node"), F.col("dst").alias("component"))).distinct())
+        moved = labels
+        while not moved.isEmpty():
+            offers = moved.withColumnRenamed("node", "src").join(links, ["graph", "src"]).groupBy("graph", F.col("dst").alias("node")).agg(F.min("component").alias("offer"))
+            state = checkpointed(labels.join(offers, ["graph", "node"], "left").select("graph", "node", F.least("component", "offer").alias("component"), (F.col("offer") < F.col("component")).alias("moved")))
+            labels, moved = state.select("graph", "node", "component"), state.where("moved").select("graph", "node", "component")
+        of = lambda end: labels.withColumnsRenamed({"node": end, "component": f"{end}_component"})
+        links = checkpointed(links.join(of("src"), ["graph", "src"]).join(of("dst"), ["graph", "dst"]).where("src_component = dst_component").select("graph", "src", "dst", F.col("src_component").alias("component")))
+        frontier = labels.where("node = component").select("graph", "component", "node")
+        levels = [frontier]
+        while True:
+            back = frontier.withColumnRenamed("node", "dst").join(links, ["graph", "component", "dst"]).select("graph", "component", F.col("src").alias("node")).distinct()
+            frontier = checkpointed(back.join(reduce(DataFrame.unionByName, levels), ["graph", "component", "node"], "left_anti"))
+            if frontier.isEmpty():
+                break
+            levels.append(frontier)
+        found = checkpointed(reduce(DataFrame.unionByName, levels))
+        sizes = found.groupBy("graph", "component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        out.append(found.join(sizes, ["graph", "component"]).select("graph", "component", "node", "size"))
+        gone = lambda end: found.select("graph", F.col("node").alias(end))
+        links = links.join(gone("src"), ["graph", "src"], "left_anti").join(gone("dst"), ["graph", "dst"], "left_anti").select("graph", "src", "dst")
+        links = checkpointed(links)
+    return reduce(DataFrame.unionByName, out)
+
+
+def plain_links(edges: DataFrame, types: list[str]) -> DataFrame:
+    """Ends of the edges of the given types, not made distinct: records that come twice do not matter for components."""
+    return edges.where(F.upper("relationship_type").isin(types)).select(F.col("snapshot_id").alias("graph"), F.col("source_artifact_id").alias("src"), F.col("target_artifact_id").alias("dst"))
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Adjacency in both directions, for ego networks."""
     base = edges.select(F.col("snapshot_id").alias("graph"), F.col("source_artifact_id").alias("a"), F.col("target_artifact_id").alias("b")).where("a <> b")

@@ -27,6 +27,16 @@ def test_statuses(frame):
     assert tuples(out["paths"], "path") == [("b3 > a3",)]
 
 
+def test_guardrail_of_long_cycles(frame):
+    names = "abcde"
+    arts = frame(ART, *(art(f"{s}_{n}", s, n) for s in ("s1", "s2") for n in names), art("t", "s1", "test_a"))
+    rows = [(f"{n}{m}", "s1", f"s1_{n}", f"s1_{m}", "CALLS", 1.0) for n, m in zip(names, names[1:] + names[:1], strict=True)]
+    rows += [(f"x{n}", "s2", f"s2_{n}", f"s2_{m}", "CALLS", 1.0) for n, m in zip(names, names[1:], strict=False)]
+    rails = analysis.guardrails(arts, frame(EDGES, *rows), arts.select("id", "artifact_type", "language", "name", "qualified_name", "location", "snapshot_id"), None)
+    assert tuples(rails.where("guardrail = 'CYCLES'")) == [("s1", "CYCLES", "VIOLATION", 1)]
+    assert tuples(analysis.architecture_factors(rails.where("guardrail = 'CYCLES'"))) == [("s1", 80.0)]
+
+
 def test_preconditions(frame):
     snaps = frame(SNAP, snap("a", 1), snap("b", 2), snap("f", 3, status="FAILED"), snap("o", 4, repo="q"), snap("c", 5, commit="a"))
     pairs = frame("base_id string, target_id string", ("a", "b"), ("a", "f"), ("a", "o"), ("a", "c"), ("a", "zz"))

@@ -4,7 +4,7 @@ from collections import deque
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import adjacency, degrees, placeholder_map
-from graphloom.operators.traversal import cycles, forward_of, reach, shortest_paths, undirected
+from graphloom.operators.traversal import components, cycles, forward_of, reach, shortest_paths, undirected
 from tests.conftest import tuples
 
 EDGES = "id string, snapshot_id string, source_artifact_id string, target_artifact_id string, relationship_type string, confidence double"
@@ -79,6 +79,30 @@ def test_cycles(frame):
     assert tuples(cycles(forward_of(edges(frame), ["CALLS"]), 3)) == []
 
 
+def test_components_equal_mutual_reach(frame):
+    draw = random.Random(5)
+    ring = [("s", f"r{i}", f"r{(i + 1) % 11:d}") for i in range(11)] + [("s", "r3", "z0"), ("s", "a0", "r0"), ("s", "z0", "z1"), ("s", "z1", "z0"), ("s", "a0", "a0")]
+    links = ring + [(g, f"{draw.randrange(16):02d}", f"{draw.randrange(16):02d}") for g in "tuvw" for _ in range(19)]
+    rows = frame(EDGES, *((f"e{i}", g, a, b, "CALLS", 1.0) for i, (g, a, b) in enumerate(links)))
+    ahead = {}
+    for start in {(g, x) for g, a, b in links for x in (a, b)}:
+        seen, queue = set(), [start]
+        while queue:
+            g, node = queue.pop()
+            fresh = {(g, b) for h, a, b in links if (h, a) == (g, node)} - seen
+            seen |= fresh
+            queue += fresh
+        ahead[start] = seen
+    expected = []
+    for n, reached_from in ahead.items():
+        same = {m for m in reached_from if n in ahead[m]} | {n}
+        if len(same) > 1:
+            expected.append((n[0], min(same)[1], n[1], len(same)))
+    assert tuples(components(forward_of(rows, ["CALLS"]))) == sorted(expected, key=repr)
+    assert {size for g, _, _, size in expected if g == "s"} == {2, 11}
+    assert tuples(components(forward_of(edges(frame), ["CALLS"]))) == []
+
+
 def test_shortest_and_degrees(frame):
     rows = edges(frame, ("A", "B", "CALLS"), ("C", "B", "USES"), ("C", "D", "CALLS"), ("A", "B", "IMPORTS"))
     pairs = frame("graph string, root string, target string", ("s", "A", "D"), ("s", "A", "Z"), ("s", "A", "A"))
