@@ -9,7 +9,7 @@ from graphloom.functions.graph import IMPACT_RULES, TEST_RULES
 from graphloom.operators import impact, traversal
 from graphloom.operators.graph import adjacency, degrees, edges_with_ends, nodes, once, placeholder_map
 from graphloom.operators.snapshot_changes import snapshot_pairs
-from graphloom.plans.catalog import Catalog, Tables
+from graphloom.plans.catalog import VIEWS, Catalog, Tables
 from graphloom.session import checkpointed
 
 CATALOG = Catalog()
@@ -211,6 +211,14 @@ add(
         WHERE a.src < a.dst AND a.src < b.dst AND a.src < c.dst AND a.dst <> b.dst AND a.dst <> c.dst AND b.dst <> c.dst)
       +++ SELECT graph, len(p)::INT AS length, array_to_string(p, '>') AS path FROM (SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4)""",
 )
+add(
+    "trv16_components",
+    lambda t: traversal.components(traversal.plain_links(t.edges, ["CALLS", "IMPORTS", "DEPENDS_ON", "REFERENCES"])),
+    "",
+    f"WITH RECURSIVE {VIEWS['edge']}, {_CYCLE}" + """, ahead AS (SELECT graph, src, dst FROM links UNION SELECT a.graph, a.src, l.dst FROM ahead a JOIN links l ON l.graph = a.graph AND l.src = a.dst),
+      own AS (SELECT a.graph, a.src AS node, min(a.dst) AS component FROM ahead a JOIN ahead b ON b.graph = a.graph AND b.src = a.dst AND b.dst = a.src GROUP BY ALL)
+      SELECT graph, component, node, count(*) OVER (PARTITION BY graph, component) AS size FROM own""",
+)
 add("trv18_baselines", lambda t: impact.one_hop_baselines(changes(t), t.edges).groupBy("pair", "baseline").agg(F.count(F.lit(1)).alias("n_nodes")), "art edge pair", _CHANGES + """near AS (SELECT c.pair, e.source_artifact_id AS node, upper(e.relationship_type) AS rel FROM ch c JOIN edge e ON e.snapshot_id = c.graph AND e.target_artifact_id = c.artifact_id),
       base AS (SELECT 'changed' AS baseline, pair, artifact_id AS node FROM ch UNION SELECT 'imports', pair, artifact_id FROM ch UNION SELECT 'calls', pair, artifact_id FROM ch UNION SELECT 'imports', pair, node FROM near WHERE rel IN ('IMPORTS','DEPENDS_ON') UNION SELECT 'calls', pair, node FROM near WHERE rel IN ('IMPORTS','DEPENDS_ON','CALLS'))
       +++ SELECT pair, baseline, count(DISTINCT node) AS n_nodes FROM base GROUP BY ALL""")
