@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from graphloom.functions.graph import path_of
 from graphloom.operators.graph import degrees, edges_with_ends, once
 from graphloom.operators.lookup import longest_prefix, mutual_edges
+from graphloom.operators.traversal import cycles, plain_links
 from graphloom.sources.baseline import Baseline
 
 USES = ["IMPORTS", "CALLS", "DEPENDS_ON"]
+LINKS = [*USES, "REFERENCES"]
 #: Words of low and high layers for inversion without a baseline.
 LOW_WORDS = ["model", "entities", "database", "db", "schema"]
 HIGH_WORDS = ["controller", "router", "route", "view", "api"]
@@ -31,7 +33,7 @@ def layered_uses(edges: DataFrame, nodes: DataFrame, baseline: Baseline) -> Data
 
 
 def drift(edges: DataFrame, nodes: DataFrame, baseline: Baseline) -> DataFrame:
-    """ARC-01, JN-10, JN-11: ``snapshot_id, category, severity, source_name, target_name``, each finding once.
+    """JN-10, JN-11, layers and imports of ARC-01: ``snapshot_id, category, severity, source_name, target_name``, each finding once.
 
     Layer boundaries that are forbidden (HIGH) or not in a non-empty list of allowed ones (MEDIUM), and imports whose name is, or is
     under, a forbidden prefix (HIGH).
@@ -45,6 +47,32 @@ def drift(edges: DataFrame, nodes: DataFrame, baseline: Baseline) -> DataFrame:
     return boundaries.unionByName(banned.select("snapshot_id", F.lit("FORBIDDEN_IMPORT").alias("category"), F.lit("HIGH").alias("severity"), "source_name", "target_name")).distinct()
 
 
+def _named_ends(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``links`` with the names of ``source_artifact_id`` and ``target_artifact_id``; those of unknown nodes are left out."""
+    end = lambda p: nodes.select(F.col("id").alias(f"{p}_artifact_id"), F.trim("qualified_name").alias(f"{p}_name"))
+    return links.join(end("source"), "source_artifact_id").join(end("target"), "target_artifact_id")
+
+
+def rule_findings(edges: DataFrame, nodes: DataFrame, baseline: Baseline) -> DataFrame:
+    """Uses and references whose ends are, or are under, the source and target of an explicit rule; each finding once."""
+    kept = edges.where(F.upper("relationship_type").isin(LINKS)).select("snapshot_id", "source_artifact_id", "target_artifact_id")
+    under = lambda name, prefix: (F.col(name) == F.col(prefix)) | F.col(name).startswith(F.concat(prefix, F.lit(".")))
+    hits = _named_ends(kept, nodes).join(F.broadcast(baseline.rules), under("source_name", "rule_source") & under("target_name", "rule_target"))
+    return hits.select("snapshot_id", "category", "severity", "source_name", "target_name").distinct()
+
+
+def cycle_findings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A row for every simple cycle, of any length, of uses and references: the names of its smallest node and of the next one."""
+    loops = cycles(plain_links(edges, LINKS), None)
+    ends = loops.select(F.col("graph").alias("snapshot_id"), F.col("path")[0].alias("source_artifact_id"), F.col("path")[1].alias("target_artifact_id"))
+    return _named_ends(ends, nodes).select("snapshot_id", F.lit("CIRCULAR_DEPENDENCY").alias("category"), F.lit("CRITICAL").alias("severity"), "source_name", "target_name")
+
+
+def full_drift(edges: DataFrame, nodes: DataFrame, baseline: Baseline) -> DataFrame:
+    """ARC-01: findings of layers and imports, of explicit rules and of cycles; cycles that begin with the same link are rows of their own."""
+    return drift(edges, nodes, baseline).unionByName(rule_findings(edges, nodes, baseline)).unionByName(cycle_findings(edges, nodes))
+
+
 def conformance(edges: DataFrame, nodes: DataFrame, findings: DataFrame, baseline: Baseline) -> DataFrame:
     """AGG-21: per snapshot: uses, violations and conformance in percent (100 without violations)."""
     uses = once(edges).where(F.upper("relationship_type").isin(USES)).join(nodes.select(F.col("id").alias("source_artifact_id")), "source_artifact_id", "left_semi").groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("uses"))

@@ -9,6 +9,7 @@ the smallest sequence of node ids wins, per hop the smallest relationship.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,22 +46,31 @@ def shortest_paths(pairs: DataFrame, adjacency: DataFrame, max_hops: int) -> Dat
     return pairs.select("graph", "root", "target").distinct().join(found.withColumnRenamed("node", "target"), ["graph", "root", "target"]).select("graph", "root", "target", F.col("depth").alias("hops"), "path")
 
 
-def cycles(adjacency: DataFrame, max_length: int = 4) -> DataFrame:
+def cycles(adjacency: DataFrame, max_length: int | None = 4) -> DataFrame:
     """TRV-16: ``graph, length, path``: simple directed cycles of 2 to ``max_length`` nodes, each once, from its smallest id on.
 
     Paths start at their smallest node and only pass larger ones, so no rotation is built twice. Enumeration grows
-    with the number of such paths; ``max_length`` bounds it. Self-loops are no cycles here.
+    with the number of such paths; ``max_length`` bounds it. Without a bound all cycles are listed, along links within a
+    component only, until no path is left; in dense components their number is exponential. Self-loops are no cycles here.
     """
     links = adjacency.select("graph", "src", "dst").distinct().where("src <> dst")
+    if max_length is None:
+        found = checkpointed(components(links))
+        end = lambda name: found.select("graph", "component", F.col("node").alias(name))
+        links = checkpointed(links.join(end("src"), ["graph", "src"]).join(end("dst"), ["graph", "component", "dst"]).select("graph", "src", "dst"))
     closing = links.where("dst < src").select("graph", F.col("src").alias("last"), F.col("dst").alias("first"))
-    upward = checkpointed(links)
+    upward = links if max_length is None else checkpointed(links)
     paths = upward.where("dst > src").select("graph", F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
     out = []
-    for length in range(2, max_length + 1):
+    for length in count(2) if max_length is None else range(2, max_length + 1):
         out.append(paths.join(closing, ["graph", "first", "last"]).select("graph", F.lit(length).alias("length"), "path"))
-        if length < max_length:
+        if length != max_length:
             step = upward.select("graph", F.col("src").alias("last"), "dst")
             paths = paths.join(step, ["graph", "last"]).where((F.col("dst") > F.col("first")) & ~F.array_contains("path", F.col("dst"))).select("graph", "first", F.col("dst").alias("last"), F.array_append("path", F.col("dst")).alias("path"))
+        if max_length is None:
+            paths = checkpointed(paths)
+            if paths.isEmpty():
+                break
     return reduce(DataFrame.unionByName, out)
 
 

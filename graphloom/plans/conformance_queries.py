@@ -15,7 +15,7 @@ add = CATALOG.add
 
 
 def _drift(t):
-    return conformance.drift(t.edges, node_table(t), load_baseline(t._spark))
+    return conformance.full_drift(t.edges, node_table(t), load_baseline(t._spark))
 
 
 def _values(rows, columns):

@@ -100,6 +100,17 @@ def test_conformance(frame, spark, tmp_path):
     assert tuples(conformance.drift(edges, nodes, Baseline(spark, {}))) == []
 
 
+def test_full_drift(frame, spark):
+    base = Baseline(spark, {"rules": [{"source": "a", "target": "lib.x", "category": "BYPASS", "severity": "LOW"}, {"source": "b", "target": "c", "forbidden": False}]})
+    names = {"a": "a.one", "b": "b", "c": "c", "d": "d", "e": "e", "f": "f", "x": "lib.x.y", "z": "lib.xx", "g": "ab"}
+    nodes = frame(NODE, *((i, "MODULE", "py", q, q, f"{q}.py:1", "s") for i, q in names.items()))
+    links = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "a"), ("c", "a"), ("a", "x"), ("a", "x"), ("a", "z"), ("g", "x")]
+    edges = frame(EDGES, *((str(i), "s", a, b, "REFERENCES") for i, (a, b) in enumerate(links)))
+    found = conformance.full_drift(edges, nodes, base)
+    assert tuples(found.drop("snapshot_id")) == [("BYPASS", "LOW", "a.one", "lib.x.y")] + [("CIRCULAR_DEPENDENCY", "CRITICAL", "a.one", "b")] * 2
+    assert base.rule_count == 2
+
+
 def test_import_lines(frame):
     rows = conformance.import_lines(frame("path string, text string", ("a.py", "import os\r\n  from x.y import z\nimportant = 1"), ("b", "")))
     assert tuples(rows) == [("a.py", 1, "os"), ("a.py", 2, "x.y")]
