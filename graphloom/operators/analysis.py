@@ -76,7 +76,7 @@ def preconditions(pairs: DataFrame, snapshots: DataFrame) -> DataFrame:
     return both.select("base_id", "target_id", F.coalesce(reason, F.lit("OK")).alias("verdict"))
 
 
-def caller_scores(roots: DataFrame, edges: DataFrame, node_table: DataFrame, max_depth: int = 8) -> DataFrame:
+def caller_scores(roots: DataFrame, edges: DataFrame, node_table: DataFrame, max_depth: int | None = None) -> DataFrame:
     """TRV-09: per root its direct and transitive callers and a score of at most 60 for callers plus 15 per endpoint."""
     found = reach(roots, adjacency(edges, {"CALLS": ("reverse", 1.0, True)}), max_depth).where("depth > 0")
     kinds = node_table.select(F.col("id").alias("node"), (F.col("artifact_type") == "API_ENDPOINT").alias("api"))

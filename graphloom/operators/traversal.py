@@ -19,8 +19,8 @@ from graphloom.session import checkpointed
 REACHED = ["graph", "root", "node", "depth", "path", "rel", "confidence"]
 
 
-def reach(roots: DataFrame, adjacency: DataFrame, max_depth: int) -> DataFrame:
-    """Everything reached from ``roots`` (``graph, root``) within ``max_depth`` hops, the roots at depth 0.
+def reach(roots: DataFrame, adjacency: DataFrame, max_depth: int | None) -> DataFrame:
+    """Everything reached from ``roots`` (``graph, root``) within ``max_depth`` hops (None: any number), the roots at depth 0.
 
     Cycles end at nodes already reached; roots that touch no edge reach themselves only; nulls are no roots.
     """
@@ -28,7 +28,7 @@ def reach(roots: DataFrame, adjacency: DataFrame, max_depth: int) -> DataFrame:
     frontier = checkpointed(start.select("graph", "root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"), F.lit(None).cast("string").alias("rel"), F.lit(1.0).alias("confidence")))
     levels = [frontier]
     links = checkpointed(adjacency.select("graph", F.col("src").alias("node"), "dst", F.col("rel").alias("hop"), "weight"))
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         steps = frontier.join(links, ["graph", "node"]).where(~F.array_contains("path", F.col("dst")))
         best = F.min(F.struct(F.array_append("path", F.col("dst")).alias("path"), F.col("hop").alias("rel"), (F.col("confidence") * F.col("weight")).alias("confidence")))
         found = steps.groupBy("graph", "root", "dst").agg(best.alias("b")).select("graph", "root", F.col("dst").alias("node"), F.lit(depth).alias("depth"), "b.path", "b.rel", "b.confidence")

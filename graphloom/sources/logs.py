@@ -36,8 +36,8 @@ def commits(log: DataFrame, most_files: int = 50) -> DataFrame:
     )
 
 
-def ancestors(history: DataFrame, spark_depth: int = 64) -> DataFrame:
-    """SRC-10: ``commit_sha, ancestor`` within ``spark_depth`` generations, by frontier joins over parent hashes."""
+def ancestors(history: DataFrame, spark_depth: int | None = None) -> DataFrame:
+    """SRC-10: ``commit_sha, ancestor`` of all generations, or within ``spark_depth``, by frontier joins over parent hashes."""
     from graphloom.operators.traversal import reach
 
     links = history.select(F.lit("h").alias("graph"), F.col("commit_sha").alias("src"), F.explode("parent_hashes").alias("dst")).withColumns({"rel": F.lit("PARENT"), "weight": F.lit(1.0)})

@@ -37,6 +37,13 @@ def test_guardrail_of_long_cycles(frame):
     assert tuples(analysis.architecture_factors(rails.where("guardrail = 'CYCLES'"))) == [("s1", 80.0)]
 
 
+def test_callers_of_any_depth(frame):
+    names = [f"n{i:02d}" for i in range(12)]
+    arts = frame(ART, *(art(n, "s", n) for n in names)).select("id", "artifact_type")
+    calls = frame(EDGES, *((f"e{i}", "s", b, a, "CALLS", 1.0) for i, (a, b) in enumerate(zip(names, names[1:], strict=False))))
+    assert tuples(analysis.caller_scores(frame("graph string, root string", ("s", "n00")), calls, arts), "callers", "score") == [(11, 60)]
+
+
 def test_preconditions(frame):
     snaps = frame(SNAP, snap("a", 1), snap("b", 2), snap("f", 3, status="FAILED"), snap("o", 4, repo="q"), snap("c", 5, commit="a"))
     pairs = frame("base_id string, target_id string", ("a", "b"), ("a", "f"), ("a", "o"), ("a", "c"), ("a", "zz"))

@@ -83,6 +83,12 @@ def test_git_texts(frame, spark, tmp_path):
     assert tuples(labels(spark, str(tmp_path / "l.json")), "case_id", "is_independent", "entity") == [("c", True, "a")]
 
 
+def test_ancestors_of_many_generations(frame):
+    rows = frame("commit_sha string, parent_hashes array<string>", ("c0", ["c1"]), *((f"c{i}", [f"c{i + 1}"]) for i in range(1, 67)))
+    last = ancestors(rows).where("commit_sha = 'c0'")
+    assert last.count() == 67
+
+
 NODE = "id string, artifact_type string, language string, name string, qualified_name string, location string, snapshot_id string"
 EDGES = "id string, snapshot_id string, source_artifact_id string, target_artifact_id string, relationship_type string"
 
