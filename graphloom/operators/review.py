@@ -176,8 +176,8 @@ def evidence_confidence(findings: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def question_intents(texts: DataFrame) -> DataFrame:
-    """ASK-01: ``doc_id, intent`` of question-like sentences by keywords, first match in order."""
+    """ASK-01: ``doc_id, intent`` of question-like sentences of any length by keywords, first match in order."""
     low = F.lower(F.col("question"))
     intent = F.when(low.rlike("incident|outage|alert"), "incident").when(low.rlike("impact|affect|break|downstream"), "impact").when(low.rlike("rule|baseline|layer|violat"), "guardrail").when(low.rlike("test|suite|coverage"), "test").otherwise("component")
-    rows = texts.where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([A-Z][^.?!\n]{5,200}\?)"), 1)).alias("question"))
+    rows = texts.where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([A-Z][^.?!\n]{5,}\?)"), 1)).alias("question"))
     return rows.select("doc_id", intent.alias("intent")).groupBy("doc_id", "intent").agg(F.count(F.lit(1)).alias("n"))

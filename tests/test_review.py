@@ -27,6 +27,11 @@ def test_contradictions(frame):
     assert tuples(review.contradictions(changes, rest, arts)) == [("f", "NOT_A_TEST"), ("t", "CHANGED_BUT_UNAFFECTED"), ("t", "CHANGED_BUT_UNAFFECTED")]
 
 
+def test_intents_of_long_questions(frame):
+    long = "Did the incident " + "of that service and its many parts " * 10 + "Really end?"
+    assert tuples(review.question_intents(frame("doc_id bigint, text string", (1, long)))) == [(1, "incident", 1)]
+
+
 def test_intents(frame):
     rows = review.question_intents(frame("doc_id bigint, text string", (1, "Which tests must run? Well. What does it affect downstream?"), (2, None), (3, "no question")))
     assert tuples(rows) == [(1, "impact", 1), (1, "test", 1)]
