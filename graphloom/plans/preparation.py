@@ -82,11 +82,16 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot_changes.snapshot_changes(table(spark, folder, "snapshots"), table(spark, folder, "artifacts"))
 
 
+def p6_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the digests of matching chunks spare rows the join. Borders of the sort's places differ from run to run, so it has no SQL."""
+    return snapshot_changes.chunk_statistics(table(spark, folder, "snapshots"), table(spark, folder, "artifacts"))
+
+
 def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot_changes.change_counts(p6_found(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table, p2_features, p2_windows, p2_type_counts, p3_found, p3_profile, p4_found, p4_times, p5_found, p5_report, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_table, p2_features, p2_windows, p2_type_counts, p3_found, p3_profile, p4_found, p4_times, p5_found, p5_report, p6_found, p6_counts, p6_chunks)}
 
 _PAIRS = """
 WITH edge AS (SELECT DISTINCT id, target_artifact_id, relationship_type, source_artifact_id, confidence FROM edges WHERE id IS NOT NULL),

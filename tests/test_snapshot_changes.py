@@ -1,7 +1,9 @@
 import random
 from datetime import datetime, timedelta
 
-from graphloom.operators.snapshot_changes import change_counts, snapshot_changes, snapshot_pairs
+import pandas as pd
+
+from graphloom.operators.snapshot_changes import _Block, _chunked, change_counts, chunk_statistics, snapshot_changes, snapshot_pairs
 from tests.conftest import tuples
 
 SNAP = "id string, repository_id string, branch_name string, snapshot_metadata map<string,string>, created_at timestamp, pair string"
@@ -54,3 +56,41 @@ def test_random_against_dictionaries(frame):
         last = dict(state)
     df = snapshot_changes(frame(SNAP, *(snap(f"s{s}", s) for s in range(5))), frame(ART, *rows))
     assert tuples(df) == sorted(expected, key=repr)
+
+
+def test_little_changes_are_mostly_discarded(frame):
+    """One prefix holds all names; one row of a hundred changes, one comes and one goes."""
+    rows = [art(f"a{i}", "s1", f"com.company.f{i:04d}") for i in range(600)]
+    rows += [art(f"b{i}", "s2", f"com.company.f{i:04d}", end=9 + (i % 100 == 50)) for i in range(1, 601)]
+    rows += [rows[5], rows[5], rows[700]]  # a repeat on one side is no change
+    snaps, arts = frame(SNAP, snap("s1", 1), snap("s2", 2)), frame(ART, *rows)
+    found = dict(tuples(change_counts(snapshot_changes(snaps, arts)), "change", "n_symbols"))
+    assert found == {"added": 1, "removed": 1, "changed": 6}
+    assert tuples(snapshot_changes(snaps, arts)) == tuples(snapshot_changes(snaps, arts, mean_rows=1)) == tuples(snapshot_changes(snaps, arts, mean_rows=10**9, max_rows=7))
+    ((_, chunks, matched, n, discarded),) = tuples(chunk_statistics(snaps, arts))
+    assert n == 600 and discarded > 0.9 * n and matched < chunks
+    assert tuples(chunk_statistics(frame(SNAP), frame(ART))) == []
+
+
+def test_chunks_across_batches():
+    """Batches of any size give the same changes as one."""
+    draw = random.Random(4)
+    rows = [("s", f"n{i:03d}", o, o == 3, draw.getrandbits(62), c, c, h != 0, h, h) for i in range(200) for o in (1, 2, 3) if draw.random() < 0.9 for c, h in [(draw.randrange(2), draw.randrange(3))] for _ in range(1 + (draw.random() < 0.1))]
+    hashes = {}
+    rows = [(s, n, o, last, hashes.setdefault(n, k), *rest) for s, n, o, last, k, *rest in rows]
+    whole = pd.DataFrame(rows, columns=["stream", "name", "ord", "last", "key_hash", "c1", "c2", "hashed", "h1", "h2"])
+    once = whole.drop_duplicates(["stream", "name", "ord"])
+    state = {(n, o): (c, h) for n, o, c, h in zip(once["name"], once["ord"], once["c1"], once["h1"], strict=True)}
+    expected = set()
+    for name in set(once["name"]):
+        for o in (2, 3):
+            now, was = state.get((name, o)), state.get((name, o - 1))
+            if now and not was or was and not now:
+                expected.add((o, name, "added" if now else "removed"))
+            elif now and was and (now[0] != was[0] or now[1] and was[1] and now[1] != was[1]):
+                expected.add((o, name, "changed"))
+    for step in (1, 3, 50, 10_000):
+        parts = [whole.iloc[i : i + step] for i in range(0, len(whole), step)]
+        found = pd.concat(_chunked(iter(parts), _Block.changes, 4, 16))
+        assert set(zip(found["ord"], found["qualified_name"], found["change"], strict=True)) == expected
+        assert len(found) == len(expected)
