@@ -1,4 +1,4 @@
-"""What field names mean: concepts behind the words of a name."""
+"""How alike two field names are, judged by their words and letters alone."""
 
 from __future__ import annotations
 
@@ -6,61 +6,27 @@ import re
 from difflib import SequenceMatcher
 from functools import lru_cache
 
-#: Words of telemetry field names by concept; the first word group names the common field.
-CONCEPTS = {
-    "http_method": ["method", "verb"],
-    "version": ["version", "ver", "release", "rev", "revision", "tag_version"],
-    "secret_key": ["secret", "key", "credential", "credentials", "token", "password", "passwd", "pwd", "apikey", "sk"],
-    "symbol": ["symbol", "sym", "function", "func", "fn"],
-    "tenant": ["tenant", "account", "org", "organization", "organisation"],
-    "queue_depth": ["queue", "backlog", "pending"],
-    "retry_count": ["retry", "retries", "attempt", "attempts"],
-    "region_code": ["region", "zone", "datacenter"],
-    "cache_hit": ["cache", "cached"],
-    "duration_ms": ["duration", "elapsed", "latency", "took"],
-    "route": ["route", "path", "url", "uri", "endpoint"],
-    "status_code": ["status", "outcome"],
-    "host_name": ["host", "hostname", "node", "machine"],
-    "user_id": ["user", "customer", "client_user"],
-    "trace_id": ["trace", "correlation"],
-}
-#: Words that say where or how a value is kept rather than what it is.
-QUALIFIERS = {
-    "http", "req", "request", "app", "application", "svc", "service", "build", "client", "signing", "auth", "code", "tag", "id", "ref", "name", "count", "depth",
-    "hit", "from", "made", "num", "number", "no", "value", "val", "text", "str", "is", "has", "the", "of", "ms", "sec", "seconds", "type", "kind", "field", "attr",
-}
-_CONCEPT_OF = {word: head for head, words in CONCEPTS.items() for word in words}
-
 
 @lru_cache(maxsize=65536)
 def words(path: str) -> tuple[str, ...]:
-    """Lower-case words of a dotted path in snake, kebab or camel case."""
+    """Lower-case words of a name or dotted path in snake, kebab or camel case."""
     spaced = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", path)
-    return tuple(w for w in re.split(r"[^a-z0-9]+", spaced.lower()) if w)
-
-
-@lru_cache(maxsize=65536)
-def concept(path: str) -> str | None:
-    """The concept a path stands for, from its last telling word back; None if no word is known."""
-    for word in reversed(words(path)):
-        if word in _CONCEPT_OF:
-            return _CONCEPT_OF[word]
-    return None
+    return tuple(w for w in re.split(r"[\W_]+", spaced.lower()) if w)
 
 
 @lru_cache(maxsize=65536)
 def similarity(one: str, other: str) -> float:
-    """How alike two names are: 1 for one concept, 0 for two different ones, else by words and letters."""
-    a, b = concept(one), concept(other)
-    if a and b:
-        return float(a == b)
+    """1 for the same words, 0.9 for an initialism, 0.8 for a shortened word, else by shared words or letters."""
     x, y = words(one), words(other)
-    core_x, core_y = set(x) - QUALIFIERS or set(x), set(y) - QUALIFIERS or set(y)
-    if core_x & core_y:
-        return len(core_x & core_y) / max(len(core_x), len(core_y))
+    if not x or not y:
+        return float(one == other)
+    if "".join(x) == "".join(y):
+        return 1.0
     for short, long in ((x, y), (y, x)):
         if len(short) == 1 and len(long) > 1 and short[0] == "".join(w[0] for w in long):
             return 0.9
-        if len(short) == 1 and len(short[0]) >= 3 and any(w.startswith(short[0]) for w in long):
+        if len(short) == 1 and len(short[0]) >= 3 and len(long) == 1 and long[0].startswith(short[0]):
             return 0.8
-    return 0.8 * SequenceMatcher(None, "".join(x), "".join(y)).ratio() if x and y else 0.0
+    shared = len(set(x) & set(y)) / len(set(x) | set(y))
+    letters = SequenceMatcher(None, "".join(x), "".join(y)).ratio()
+    return max(shared, letters if letters >= 0.8 else 0.0)

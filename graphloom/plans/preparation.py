@@ -14,14 +14,14 @@ from graphloom.sources.tables import table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    changes = schema_drift.schema_changes(checkpointed(schema_drift.file_schemas(table(spark, folder, "event_lines"))))
-    return changes.select("feed_id", "file_no", "field_name", "change").distinct()
+    _, scripts = schema_drift.drift(table(spark, folder, "event_lines"))
+    return schema_drift.schema_changes(scripts).select("feed_id", "file_no", "field_name", "change").distinct()
 
 
 def p1_table(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "event_lines")
-    schemas = checkpointed(schema_drift.file_schemas(lines))
-    plan = schema_drift.projections(schemas, schema_drift.schema_changes(schemas))
+    schemas, scripts = schema_drift.drift(lines)
+    plan = checkpointed(schema_drift.projections(schemas, checkpointed(scripts)))
     return schema_drift.consistent_table(lines, plan)
 
 
