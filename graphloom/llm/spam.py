@@ -1,197 +1,200 @@
 """Problem 9: keyword-stuffed and link-list pages.
 
-A text is cut into units (lines; long lines of sentences into sentences). Each unit is reduced to a
-shape: how many words, capitals, separators and links. Units of one shape are judged together, by how many
-of their words are function words, promotional words or the same few words over and over. A page is spam
-if more than half its words stand in units of non-sentence shapes that carry keywords, links, tags or labels.
-Working text (code, logs, tables, headings, version and test lists, references, remarks) is told by its shape.
+A text is cut into units (lines; long lines of sentences into sentences). Each unit is reduced to a shape: what
+it is made of, how many words, capitals, separators and links, and whether it is closed like a sentence. No list of words is
+used. Units of one shape on a page are judged together by statistics that prose of any language shares and keyword text lacks:
+
+* the share of short words (up to three letters), which every sentence needs to hold together, and
+* how soon longer words come back, within a unit and within neighbouring units (in windows of WINDOW words).
+
+Links with few words, and rows of tags or counted labels, are told by what they are made of; so is working text (code, logs, tables,
+version and test lists), by its mixture of words with digits, paths and signs. The shapes are then grouped over the whole corpus: what
+a shape mostly carries there weighs as much as PRIOR words of a page's own evidence, so few words alone decide nothing. A page is spam if
+more than half of its words stand in units judged so.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Function words by language.
-FUNCTION_WORDS_OF = {
-    "en": (
-        "the a an of to in on at by for from with without and or but nor so if then than that this these those which who whom whose what when where why how is are was were be been being am "
-        "it its he she they them their we us our you your i my me as not no only all any both each every some such can could may might must shall should will would do does did has have had "
-        "into onto over under after before since until while because although though through during between among about against there here out up down off again still yet"
-    ),
-    "de": (
-        "der die das den dem des ein eine einen einem einer eines und oder aber nicht kein keine ist sind war waren wird werden wurde wurden hat haben hatte zu zum zur im in am an auf aus bei mit nach von vor für über unter durch "
-        "wir ihr sie er es ich uns noch nur auch als wie wenn dass weil bis seit sich so dort hier alle jede jeder wer sollte sollten zuerst muss kann soll damit davon doch seine ihre diese dieser dieses"
-    ),
-    "fr": (
-        "le la les l un une des du de d et ou mais ne pas plus est sont était été être a ont avait au aux en dans sur sous par pour avec sans ce cette ces cet qui que qu quoi dont où il elle ils elles nous vous on se sa son ses leur leurs il afin depuis lorsque chaque tout très déjà"
-    ),
-    "es": (
-        "el los las una unos unas y o pero no es son fue fueron ser está están ha han había al del en con sin por para sobre entre desde hasta que quien cual cuando donde como se su sus lo le les nos ya muy más cada todo todas antes después también solo hay"
-    ),
-}
-#: Words put on pages to be found by buyers, by language.
-PROMOTIONAL_OF = {
-    "en": (
-        "best top cheap cheapest free freeware premium pro trusted secure fast instant easy online official number-one discount deal deals coupon coupons promo price prices pricing buy sale offer offers order shop "
-        "crack cracked keygen serial download downloads demo trial login signup review reviews compare comparison alternative alternatives support tutorial license near-me bundle sku edition pack plan 2026 2025 2024"
-    ),
-    "de": (
-        "kaufen billig günstig günstige kostenlos gratis angebot angebote preis preise rabatt vergleich werkzeug herunterladen"
-    ),
-    "fr": (
-        "acheter gratuit gratuite pas-cher offre offres prix remise promotion télécharger licence outil"
-    ),
-    "es": (
-        "comprar barato barata oferta ofertas precio precios descuento descargar licencia herramienta"
-    ),
-}
-FUNCTION_WORDS = {w for words in FUNCTION_WORDS_OF.values() for w in words.split()}
-PROMOTIONAL = {w for words in PROMOTIONAL_OF.values() for w in words.split()}
-LEAST_WORDS = 5
+from graphloom.session import checkpointed
+
+SHORT = 3
+WINDOW = 24
+PRIOR = 16
+UNSEEN = 6
+#: Repetition and share of short words at which text is as likely keywords as prose, and the span over which the latter tells.
+REPETITION, SHORT_SHARE, SHORT_SPAN = 0.24, 0.25, 0.12
+#: Words per link up to which they are its label, and the least number of links or tags that make a list.
+LABEL_WORDS, LEAST_LINKS, LEAST_TAGS = 5, 3, 4
+WORK, TEXT, TAGS, LINKS = range(4)
+#: Shapes of one make: 8 word counts, 4 uses of capitals, 3 of separators, 3 of links, closed or not.
+_MADE = 8 * 4 * 3 * 3 * 2
 
 _ANCHOR = re.compile(r"<a\s[^<>]*?href\s*=\s*[\"']?([^\"'\s<>]+)[\"']?[^<>]*>([^<]*(?:<(?!/?a\b)[^<]*)*)</a>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
-_LINK = re.compile(r"\]?\(?\b(?:https?|ftp)://[^\s)>\]]+\)?|\bwww\.[^\s)>\]]+|(?<![\w.-])[a-z0-9-]{1,63}+(?:\.[a-z0-9-]{1,63}+){1,8}+(?<=[a-z]{2})/[^\s)>\]]*", re.I)
+_LINK = re.compile(r"\]?\(?\b(?:https?|ftp)://[^\s)>\]]+\)?|\bwww\.[^\s)>\]]+|(?<![\w.-])[a-z0-9-]++(?:\.[a-z0-9-]++)++(?<=[a-z]{2})/[^\s)>\]]*", re.I)
 _SENTENCE_END = re.compile(r"(?<=[.!?;])\s+(?=[\W_]{0,6}[A-ZÀ-ÞÄÖÜ0-9])")
-_WORD = re.compile(r"[^\W_]+(?:[-'’_.][^\W_]+)*")
-_WORKING = re.compile(
-    r"\s*(?:\|.*\||[|:\s-]{3,}|[=~^*_-]{3,}|#{1,6}\s.*|\d{1,2}:\d\d(?::\d\d)?\b.*|\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d.*|[\w.\[\]-]+\s*[=~^<>!]=\s*v?\d[\w.]*.*"
-    r"|\S+\s+(?:PASSED|FAILED|SKIPPED|ERROR|OK|XFAIL)\b.*|(?:def|class|return|if|for|while|import|from|else|try|except|function|const|let|var|public|private)\b.*[:;({})\]]\s*|[})\];]+|(?:Subject|From|To|Date):\s.*|References?:?)\s*"
-)
-_TOKEN = re.compile(r"[^\W_]\S*")
-_SEPARATOR = re.compile(r"[^\w\s'’-]")
-_PHRASES = (("near", "me"), ("number", "one"), ("pas", "cher"))
-_CLOUD = re.compile(r"[^\s()]+\(\d+\)$")
-
-
-def _units(text: str) -> Iterator[tuple[str, bool]]:
-    """``(unit, working)`` of a text, blank ones left out."""
+_NAMED = re.compile(r"[^\W_][-_.][^\W_]|\d")
+_MARK = re.compile(r"(?:[#>*•·–-]+\s+|\d+[.)]\s+)+")
+_WORD = re.compile(r"[^\W\d_]+")
+_SIGN = re.compile(r"[\d_={}\[\]<>\\`$@]|\(\)|\w/\w|^/\w")
+_TAGGED = re.compile(r"(?<!\S)(?:#[^\W\d]\w*|[^\W\d][\w-]*\(\d+\))[,;]?(?!\S)")
+_SIGNS = frozenset("|-–=/•·*+&:~")
+_SEPARATOR = re.compile(r"[,;|•·/]")
+_GROUP = "shape int, words int, weight int, evidence double"
+
+
+def units(text: str) -> Iterator[str]:
+    """Units of a whole text, blank ones left out."""
     if "<" in text:
         listed = text.count("<a ") > 2
         text = _ANCHOR.sub(lambda m: f"\n[{m.group(2)}]({m.group(1)})\n" if listed else f"{m.group(2)} ({m.group(1)})", text)
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
-    fenced = False
     for line in text.splitlines():
         line = line.strip()
-        if line.startswith(("```", "~~~")):
-            fenced = not fenced
-            continue
         if not line:
             continue
-        if fenced or _WORKING.fullmatch(line):
-            yield line, True
-        elif len(line) > 60 and (". " in line or "! " in line or "? " in line):
-            for part in _SENTENCE_END.split(line):
-                yield part, False
+        if len(line) > 60 and (". " in line or "! " in line or "? " in line):
+            yield from _SENTENCE_END.split(line)
         else:
-            yield line, False
-
-
-class _Unit:
-    __slots__ = ("text", "tokens", "words", "links", "function", "promotional", "found", "bare")
-
-    def __init__(self, text: str, tokens: int):
-        self.text, self.tokens = text, tokens
-        self.bare, self.links = _LINK.subn(" ", text) if "/" in text or "www." in text else (text, 0)
-        self.found = _WORD.findall(self.bare)
-        self.words = [w.lower() for w in self.found]
-        self.function = sum(map(FUNCTION_WORDS.__contains__, self.words))
-        self.promotional = sum(map(PROMOTIONAL.__contains__, self.words))
-        for a, b in _PHRASES:
-            if a in self.words:
-                self.promotional += 2 * sum(x == a and y == b for x, y in zip(self.words, self.words[1:], strict=False))
-
-    def shape(self) -> tuple:
-        """Word count (power of two), capitals, separators and links."""
-        separators = "".join(sorted(set(_SEPARATOR.findall(self.bare))))[:8]
-        capitals = sum(w[0].isupper() for w in self.found)
-        share = 0 if not self.found else 1 if capitals <= 1 else 2 if capitals < len(self.found) / 2 else 3
-        return len(self.found).bit_length(), share, separators, min(self.links, 2)
-
-    def sentence(self) -> bool:
-        n = len(self.words)
-        closed = self.text.endswith((".", "!", "?", ":", ";", ","))
-        return n >= (6 if self.links else 4) and self.function >= (1 if closed else 2) and self.function >= 0.17 * n
-
-
-def _keyworded(units: list[_Unit]) -> bool:
-    """Whether units of one shape, none of them sentences, carry keywords, links, tags or labels."""
-    words = [w for u in units for w in u.words]
-    links = sum(u.links for u in units)
-    tokens = [t for u in units for t in u.text.split()]
-    if links and len(words) <= 0.5 * links:
-        return links >= 3
-    if sum(len(t) > 1 and t[0] == "#" and t[1] != "#" for t in tokens) >= max(4, 0.6 * len(tokens)):
-        return True
-    if sum(bool(_CLOUD.match(t)) for t in tokens) >= max(4, 0.6 * len(tokens)):
-        return True
-    if len(words) < LEAST_WORDS:
-        return False
-    if sum(u.promotional for u in units) >= 0.2 * len(words):
-        return True
-    counts = Counter(words)
-    if links:
-        return len(words) >= 20 and len(counts) <= 0.35 * len(words)
-    if sum(u.text.endswith((".", "!", "?")) for u in units) > len(units) / 2 and sum(u.function for u in units) >= 0.05 * len(words):
-        return False  # notes and sentences may repeat themselves
-    plain = [w for w in words if not w[0].isdigit()]
-    top = sum(n for _, n in Counter(plain).most_common(3))
-    return len(plain) >= 15 and (top >= 0.4 * len(plain) or len(set(plain)) <= 0.3 * len(plain))
-
-
-def _stuffed(unit: _Unit) -> bool:
-    """A sentence in form only: too many promotional and too few function words for prose."""
-    n = len(unit.words)
-    return n >= 4 and unit.promotional >= 3 and (unit.promotional >= 0.5 * n or unit.promotional >= 0.2 * n and unit.function <= 0.33 * n)
+            yield line
+
+
+def measured(unit: str) -> tuple[int, list[str], int, int]:
+    """``shape, words, weight, links`` of a unit; the shape is one of some 3,000 numbers."""
+    bare, links = _LINK.subn(" ", unit) if "/" in unit or "www." in unit else (unit, 0)
+    if mark := _MARK.match(bare):
+        bare = bare[mark.end() :]
+    words = _WORD.findall(bare.lower())
+    tokens = bare.split()
+    n, weight = len(words), len(tokens) + links
+    made = TEXT
+    if links and tokens and _NAMED.search(tokens[0]):
+        made = WORK  # a link under the name of a thing (a compound or numbered one), with or without a remark, is a reference
+    elif links and n <= LABEL_WORDS * links:
+        made, weight = LINKS, max(1, n) + links
+    elif ("#" in bare or "(" in bare) and (tags := len(_TAGGED.findall(bare))) >= LEAST_TAGS and tags >= 0.6 * len(tokens):
+        made = TAGS
+    elif not links and _SIGN.search(bare) and sum(_SIGN.search(t) is not None for t in tokens) >= 0.2 * sum(t not in _SIGNS for t in tokens):
+        made = WORK
+    separators = len(_SEPARATOR.findall(bare))
+    capitals = sum(t[0].isupper() for t in tokens)
+    case = 0 if not capitals else 1 if capitals == 1 else 2 if capitals < 0.5 * n else 3
+    closed = unit.endswith((".", "!", "?", ":", ";"))
+    shape = ((((made * 8 + min(7, n.bit_length())) * 4 + case) * 3 + (separators > 0) + (separators > 2)) * 3 + min(links, 2)) * 2 + closed
+    return shape, words, weight, links
+
+
+def _repeated(items: list) -> int:
+    return sum(len(part) - len(set(part)) for i in range(0, len(items), WINDOW) for part in [items[i : i + WINDOW]])
+
+
+def evidence(word_lists: list[list[str]], closed: bool) -> float:
+    """From -1 (prose) to 1 (keywords) for the words of units of one shape.
+
+    Within a unit, longer words and pairs of neighbouring words count that come back; a pair, which prose hardly ever repeats, doubly. Words that come
+    back in the next units count as far as those do in sentences, and nearly in full in units that are none.
+    """
+    long_lists = [[w for w in words if len(w) > SHORT] for words in word_lists]
+    flat = [w for words in long_lists for w in words]
+    n = sum(map(len, word_lists))
+    if not n:
+        return 0.0
+    within = sum(map(_repeated, long_lists)) / len(flat) if flat else 0.0
+    pairs = [list(zip(words, words[1:], strict=False)) for words in word_lists]
+    within += 2 * sum(map(_repeated, pairs)) / max(1, sum(map(len, pairs)))
+    among = _repeated(flat) / len(flat) if flat else 0.0
+    repetition = within + 0.4 * min(among, within)
+    if not closed:
+        joined = [p for pair in pairs for p in pair]
+        repetition = max(repetition, 0.8 * among, 2 * _repeated(joined) / max(1, len(joined)))
+    short = 1 - len(flat) / n
+    return max(-1.0, min(1.0, repetition / REPETITION + max(-0.4, min(1.2, (SHORT_SHARE - short) / SHORT_SPAN)) - 1))
+
+
+def page_groups(text: str) -> tuple[int, list[tuple[int, int, int, float]]]:
+    """The weight of a page and ``shape, words, weight, evidence`` of its units by shape.
+
+    A sentence, closed or free of separators, that repeats word by word is looked at once, as notes may repeat themselves; its weight counts every time.
+    """
+    total = 0
+    seen: set[str] = set()
+    groups: dict[int, list] = {}
+    for unit in units(text):
+        shape, words, weight, links = measured(unit)
+        total += weight
+        group = groups.get(shape)
+        if group is None:
+            group = groups[shape] = [0, [], 0]
+        group[0] += weight
+        group[2] += links
+        if shape & 1 or shape // 6 % 3 == 0 and len(words) >= 6 and sum(len(w) <= SHORT for w in words) >= 0.2 * len(words):
+            known = " ".join(words)
+            if known in seen:
+                continue
+            seen.add(known)
+        group[1].append(words)
+    out = []
+    for shape, (weight, lists, links) in groups.items():
+        made = shape // _MADE
+        if made == TEXT:
+            found = evidence(lists, bool(shape & 1))
+        else:
+            found = -1.0 if made == WORK else 1.0 if made == TAGS or links >= LEAST_LINKS else 0.0
+        out.append((shape, sum(map(len, lists)), weight, found))
+    return total, out
 
 
-def spam_share(text: str | None) -> float:
-    """Share of a text's words that stand in keyword, link, tag or label units; 0 for no words."""
-    total = spam = 0
-    groups: dict[tuple, list[_Unit]] = defaultdict(list)
-    for line, working in _units(text or ""):
-        tokens = len(_TOKEN.findall(line))
-        total += tokens
-        if working:
-            continue
-        unit = _Unit(line, tokens)
-        if unit.sentence():
-            spam += unit.tokens * _stuffed(unit)
-        else:
-            groups[unit.shape()].append(unit)
-    leftover: list[_Unit] = []
-    for units in groups.values():
-        if _keyworded(units):
-            spam += sum(u.tokens for u in units)
-        else:
-            leftover += [u for u in units if not u.links]
-    if leftover and len(groups) > 1 and _keyworded(leftover):
-        spam += sum(u.tokens for u in leftover)
-    return spam / total if total else 0.0
+def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        made = [page_groups(t) for t in batch["text"]]
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "total": [m[0] for m in made], "groups": [m[1] for m in made]})
+
 
+def shape_priors(pages: DataFrame) -> DataFrame:
+    """``shape, prior``: what the text of a shape mostly carries over the whole corpus, weighted by words; as many rows as there are shapes.
 
-def _shares(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(spam_share).astype("float64")
+    UNSEEN words of prose are added to each, so that a few words in a small corpus decide nothing either.
+    """
+    groups = pages.select(F.explode("groups").alias("g")).select("g.*")
+    return groups.groupBy("shape").agg(((F.sum(F.col("words") * F.col("evidence")) - UNSEEN) / (F.sum("words") + UNSEEN)).alias("prior"))
+
+
+def spam_share(text: str | None) -> float:
+    """Share of a text that would be a corpus by itself."""
+    total, groups = page_groups(text or "")
+    score = lambda w, e: w * e + PRIOR * (w * e - UNSEEN) / (w + UNSEEN)
+    return sum(weight for shape, w, weight, e in groups if (score(w, e) if shape // _MADE == TEXT else e) > 0) / total if total else 0.0
 
 
 def page_shares(documents: DataFrame) -> DataFrame:
     """``doc_id, spam_share`` of every document with a text; a repeated id has its largest share.
 
-    Null texts give no row, blank ones a share of 0. Whole texts are read.
+    Null texts give no row, blank ones a share of 0. Whole texts are read, once; the groups by page and shape are kept in a checkpoint
+    from which the corpus statistics of shapes and then the shares are taken.
     """
-    share = F.pandas_udf(_shares, "double")
-    rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), share("text").alias("spam_share"))
-    return rows.groupBy("doc_id").agg(F.max("spam_share").alias("spam_share"))
+    rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    pages = checkpointed(rows.mapInPandas(_pages, f"doc_id bigint, total bigint, groups array<struct<{_GROUP}>>"))
+    priors = shape_priors(pages).agg(F.map_from_entries(F.collect_list(F.struct("shape", "prior"))).alias("m")).scalar()
+    judged = pages.select("doc_id", "total", "groups", priors.alias("priors"))
+
+    def spam_weight(g):
+        text = F.floor(g["shape"] / _MADE) == TEXT
+        score = F.when(text, g["words"] * g["evidence"] + PRIOR * F.element_at("priors", g["shape"])).otherwise(g["evidence"])
+        return F.when(score > 0, g["weight"]).otherwise(0).cast("bigint")
+
+    spam = F.aggregate(F.transform("groups", spam_weight), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    shares = judged.select("doc_id", F.when(F.col("total") > 0, spam / F.col("total")).otherwise(0.0).alias("spam_share"))
+    return shares.groupBy("doc_id").agg(F.max("spam_share").alias("spam_share"))
 
 
 def spam_pages(documents: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -18,6 +18,10 @@ SPAM = {
     "cloud": "log-monitor(12) trace-viewer(44) api-catalog(7) planner(3) checker(91)",
     "labels": "\n".join(f"Premium Log Monitor Pack | SKU {i} | 19.99 | tags: trace-price, job-download, job-review" for i in range(5)),
     "stuffed sentences": "Get the best log monitor is the trusted log monitor for cheap plan tool price. Our top log monitor is the fast log monitor for free plan tool trial. ",
+    "Portuguese product words": "sapatos meias camisas calças vestidos bolsas carteiras relógios colares brincos pulseiras chapéus luvas cintos óculos lenços",
+    "English product words": "shoes socks shirts trousers dresses bags wallets watches necklaces earrings bracelets hats gloves belts glasses scarves boots coats jackets",
+    "labels between pipes": "red shoes | blue shirts | warm coats | wool socks | silk scarves | leather belts | summer hats | winter boots",
+    "headings": "\n".join(["# cheap shoes buy best price discount coupon"] * 20),
     "one word": "kaufen kaufen kaufen best kaufen kaufen kaufen kaufen top kaufen kaufen kaufen kaufen kaufen kaufen kaufen",
     "arrows": "\n".join(f"quiet stream price >> amber{i}.invalid/node <<" for i in range(9)),
 }
@@ -34,6 +38,8 @@ WORKING = {
     "table": "| method | route | purpose |\n|---|---|---|\n" + "\n".join(f"| GET | /prices/{i} | buy the deal |" for i in range(9)),
     "references": "References\n" + "\n".join(f"- {a}-{b} notes: https://fern.example/x" for a in ("amber", "coral", "dusky") for b in ("port", "lens", "mill")),
     "index": "\n".join(f"- [amber-{i}](http://cedar.test/a) describes the message format that the job service reads" for i in range(9)),
+    "change list": "\n".join(["Release 2026 plan", "Support for order tutorial", "Review of offer edition", "Login and demo of the shop", "Price of the trial plan", "Download of the new edition"]),
+    "Portuguese prose": "O servidor recebe o pedido e grava a resposta no disco. Se a tabela está vazia, o programa não faz nada e sai sem erro. A equipe da noite viu que o prazo era curto demais para o teste. ",
     "short": "ok",
     "tags": "Tags: voucher, target, guardrail, receipt, scope",
 }
