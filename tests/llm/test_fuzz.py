@@ -5,6 +5,7 @@ from graphloom.llm.leaks import ItemIndex, _search
 from graphloom.llm.packing import count_tokens, encoder, token_ids
 from graphloom.llm.spam import spam_share
 from graphloom.llm.words import plain, words
+from tests.llm.test_leaks import covered_in_order
 
 TEXT = st.text(max_size=300) | st.text(alphabet="ab .<>/&#;\n|-=()[]:", max_size=300)
 
@@ -29,17 +30,13 @@ def test_search_equals_brute_force(passages, texts):
     import pandas as pd
 
     items = [(i, p, "", "") for i, p in enumerate(passages)]
-    out = pd.concat(list(_search(ItemIndex(items), 0.25)(iter([pd.DataFrame({"doc_id": range(len(texts)), "text": texts})]))))
+    out = pd.concat(list(_search([ItemIndex(items)], 0.25)(iter([pd.DataFrame({"doc_id": range(len(texts)), "text": texts})]))))
     expected = set()
     for d, t in enumerate(texts):
         w = words(t)
-        have = {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
         for i, p, _, _ in items:
             q = words(p)
-            covered = [False] * len(q)
-            for k in range(len(q) - 7):
-                if tuple(q[k : k + 8]) in have:
-                    covered[k : k + 8] = [True] * 8
-            if sum(covered) and sum(covered) >= 0.25 * len(q):
+            n = covered_in_order(w, q)
+            if n and n >= 0.25 * len(q):
                 expected.add((d, i))
     assert set(zip(out["doc_id"], out["item_id"], strict=True)) == expected

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from graphloom.llm.leaks import STRETCH, ItemIndex, leaked_items, leaks
+from graphloom.llm.leaks import STRETCH, ItemIndex, _in_order, leaked_items, leaks
 from graphloom.llm.words import words
 from tests.conftest import tuples
 
@@ -13,17 +13,20 @@ VOCABULARY = [a + b for a in ("ba", "co", "du", "fe", "gi", "ho") for b in ("ker
 PASSAGE = "The reviewer found that nine callers of the ledger gate fail once the second worker is stopped, so choose between a rollback and a patch in the shared queue module today."
 
 
+def covered_in_order(t, p):
+    """Brute force over the grid: most words of ``p`` in stretches of eight or more that ``t`` holds in the same order."""
+    run = [[0] * (len(t) + 1) for _ in range(len(p) + 1)]
+    best = [[0] * (len(t) + 1) for _ in range(len(p) + 1)]
+    for i in range(1, len(p) + 1):
+        for j in range(1, len(t) + 1):
+            run[i][j] = run[i - 1][j - 1] + 1 if p[i - 1] == t[j - 1] else 0
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], *(best[i - k][j - k] + k for k in range(STRETCH, run[i][j] + 1)))
+    return best[-1][-1]
+
+
 def share(text, passage):
-    """Brute force: share of the passage's words in stretches of eight that the text holds."""
     t, p = words(text or ""), words(passage or "")
-    if len(p) < STRETCH:
-        return 0.0
-    have = {tuple(t[i : i + STRETCH]) for i in range(len(t) - STRETCH + 1)}
-    covered = [False] * len(p)
-    for i in range(len(p) - STRETCH + 1):
-        if tuple(p[i : i + STRETCH]) in have:
-            covered[i : i + STRETCH] = [True] * STRETCH
-    return sum(covered) / len(p)
+    return covered_in_order(t, p) / len(p) if len(p) >= STRETCH else 0.0
 
 
 def test_random_texts_equal_brute_force(frame):
@@ -83,11 +86,41 @@ def test_nulls_empty_repeats(frame):
     docs = [(1, None, "", 0), (2, "", "", 0), (3, "short", "", 0), (None, PASSAGE, "", 0), (4, PASSAGE, "", 0), (4, PASSAGE, "", 0), (5, "x" * 200_000 + " " + PASSAGE, "", 0)]
     items = [(7, PASSAGE, "Where is it?", "shared queue", 1), (7, PASSAGE, "Where is it?", "shared queue", 1), (8, None, "", "", 1), (9, "", "", "", 1), (10, "too short to count", "", "", 1), (None, PASSAGE, "", "", 1)]
     df = leaks(frame(DOCS, *docs), frame(ITEMS, *items))
-    assert tuples(df, "doc_id", "item_id", "has_question", "has_answer") == [(4, 7, False, True), (5, 7, False, True)]
+    assert tuples(df, "doc_id", "item_id", "answer_overlap") == [(4, 7, 1.0), (5, 7, 1.0)]
     assert tuples(leaked_items(df)) == [(7, 2, 0, 2, 1.0)]
     assert tuples(leaks(frame(DOCS), frame(ITEMS, *items))) == tuples(leaks(frame(DOCS, *docs), frame(ITEMS))) == []
 
 
+def test_order_counts(frame):
+    tokens = words(PASSAGE)
+    late_first = " ".join([*tokens[20:28], "and", *tokens[:8]])
+    df = leaks(frame(DOCS, (1, late_first, "", 0), (2, " ".join([*tokens[:8], "and", *tokens[20:28]]), "", 0)), frame(ITEMS, (7, PASSAGE, "", "", 1)), share=0.5)
+    assert tuples(df, "doc_id", "n_shared") == [(2, 16)]
+    assert _in_order([(0, 10, 18), (9, 0, 8), (20, 12, 22)], 30) == 18 and _in_order([], 9) == 0
+    assert _in_order([(k * 10, 0, 10) for k in range(1000)], 10) == 10
+
+
+def test_several_indexes(frame, monkeypatch):
+    from graphloom.llm import leaks as module
+
+    monkeypatch.setattr(module, "ITEMS_PER_INDEX", 2)
+    items = [(i, f"{PASSAGE} case {'x' * i}", "", "", 1) for i in range(7)]
+    df = leaks(frame(DOCS, (1, PASSAGE, "", 0), (2, "nothing of it", "", 0)), frame(ITEMS, *items))
+    assert tuples(df, "doc_id", "item_id") == [(1, i) for i in range(7)]
+
+
+def test_wand_equals_full_scores():
+    draw = random.Random(8)
+    index = ItemIndex([(i, " ".join(draw.choice(VOCABULARY[:9]) for _ in range(draw.randrange(8, 40))), "", "") for i in range(120)])
+    bounds, items, weights = index.postings
+    for _ in range(200):
+        terms = np.array(sorted(draw.sample(range(len(index.terms)), draw.randrange(1, 14))))
+        score = np.zeros(len(index.items))
+        for t in terms:
+            np.add.at(score, items[bounds[t] : bounds[t + 1]], weights[bounds[t] : bounds[t + 1]])
+        assert index.wand(terms) == np.flatnonzero((score >= index.thresholds) & (score > 0)).tolist()
+
+
 def test_thresholds_never_miss():
     draw = random.Random(2)
     items = [(i, " ".join(draw.choice(VOCABULARY[:20]) for _ in range(40)), "", "") for i in range(40)]
