@@ -1,11 +1,11 @@
 """Problem 7: filling fixed-capacity containers with texts.
 
 Texts are measured in tokens of a public tokenizer. A text over the capacity is cut into full pieces and a
-rest; everything else stays whole. Items are spread over shards of bounded size by a hash of their
-id. Each shard holds a BM25 inverted index of its items, with term frequencies over all documents: a
-container starts with the largest unused item as seed, the index returns its unused neighbours, and those that fit are
-taken in order of score until the room is small; what is left of it goes to the largest item that still fits.
-Items of containers that stay underfull are packed once more in fewer shards.
+rest; everything else stays whole. Items are brought into an order in which likely neighbours stand close (by min-hashes of their most
+telling terms) and the order is cut into shards of bounded size. Each shard holds a BM25 inverted index of its items, with document
+frequencies, term frequencies and lengths over all documents: a container starts with the largest unused item as seed, the index returns its
+unused neighbours, and those that fit are taken in order of score; when the room is small, the best-fitting of the CHOICE best neighbours that fit.
+Only when no neighbour that shares a term fits, any other item does. Items of containers that stay underfull are packed once more in fewer shards.
 """
 
 from __future__ import annotations
@@ -26,9 +26,14 @@ TERMS = 1 << 18
 #: Tokens per shard, in containers. Bounds a shard's memory whatever the input.
 CONTAINERS_PER_SHARD = 256
 ITEMS_PER_SHARD = 4_096
+K1, B = 1.2, 0.75
+#: Share of the capacity below which room is small, and neighbours among which the best-fitting then is taken.
+SMALL, CHOICE = 0.3, 48
+#: Most telling terms of an item, those of them that most documents have, and min-hashes of these that make its place in the order.
+TELLING, SHARED, HASHES = 24, 4, 4
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_ITEM = "doc_id bigint, piece_no int, token_start bigint, n_tokens bigint, terms array<int>"
+_ITEM = "doc_id bigint, piece_no int, token_start bigint, n_tokens bigint, terms array<int>, counts array<int>"
 _PLACED = "container_id string, capacity bigint, position int, doc_id bigint, piece_no int, token_start bigint, n_tokens bigint"
 
 
@@ -55,32 +60,69 @@ def count_tokens(text: str, path: str = TOKENIZER) -> int:
     return len(token_ids(text, path))
 
 
-def measured(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, n_tokens, terms`` of every document with a text; ``terms`` are its distinct tokens."""
+def measured(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER) -> DataFrame:
+    """``doc_id, n_tokens, terms, counts, others`` of every document with a text.
+
+    ``terms`` and ``counts`` are the distinct tokens of what goes into a shared container (all of a text below the capacity, else what
+    is left after its full pieces), ``others`` those that only its full pieces have.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = [token_ids(t, tokenizer) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(i) for i in ids], "terms": [np.unique(i) for i in ids]})
+            rest = [np.unique(i[len(i) // capacity * capacity :], return_counts=True) for i in ids]
+            others = [np.setdiff1d(i, r[0]) if len(i) >= capacity else i[:0] for i, r in zip(ids, rest, strict=True)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(i) for i in ids], "terms": [r[0] for r in rest], "counts": [r[1].astype(np.int32) for r in rest], "others": others})
 
     rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInPandas(run, "doc_id bigint, n_tokens bigint, terms array<int>")
+    return rows.mapInPandas(run, "doc_id bigint, n_tokens bigint, terms array<int>, counts array<int>, others array<int>")
 
 
 def document_frequencies(sizes: DataFrame) -> tuple[np.ndarray, int, int]:
     """Documents per term over all documents, their number, and their tokens; at most one row per vocabulary entry reaches the driver."""
-    counts = sizes.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    counts = sizes.select(F.explode(F.concat("terms", "others")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toPandas()
     out = np.zeros(max(TERMS, int(counts["t"].max()) + 1 if len(counts) else 0))
     out[counts["t"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=float)
     n, total = sizes.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
     return out, n or 0, total or 0
 
 
-def rests(sizes: DataFrame, capacity: int) -> DataFrame:
-    """Items to be combined: texts below the capacity, and what is left of longer ones after their full pieces."""
+class Statistics:
+    """Inverse document frequencies and mean length over all documents."""
+
+    def __init__(self, frequencies: np.ndarray, n: int, total: int):
+        self.frequencies = frequencies
+        self.idf = np.log1p((n - frequencies + 0.5) / (frequencies + 0.5))
+        self.mean = max(1.0, total / n) if n else 1.0
+
+    def weights(self, terms: np.ndarray, counts: np.ndarray, length: np.ndarray | float) -> np.ndarray:
+        """BM25 weights of terms in an item of a length."""
+        return self.idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / self.mean))
+
+    def place(self, terms: np.ndarray, counts: np.ndarray) -> list[int]:
+        """Where an item stands in the order: min-hashes over its telling terms that are not its own alone."""
+        known = self.frequencies[terms] >= 2
+        terms, counts = terms[known], counts[known]
+        if not len(terms):
+            return [0] * HASHES
+        telling = terms[np.argsort(-self.weights(terms, counts, float(counts.sum())), kind="stable")[:TELLING]]
+        shared = telling[np.argsort(-self.frequencies[telling], kind="stable")[:SHARED]].astype(np.uint64)
+        hashed = np.sort(((shared + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+        return np.resize(hashed, HASHES).tolist()
+
+
+def rests(sizes: DataFrame, capacity: int, statistics: object) -> DataFrame:
+    """Items to be combined, with their ``place``: texts below the capacity, and what is left of longer ones after their full pieces."""
     full = F.floor(F.col("n_tokens") / capacity)
-    rows = sizes.select("doc_id", full.cast("int").alias("piece_no"), (full * capacity).cast("bigint").alias("token_start"), (F.col("n_tokens") - full * capacity).cast("bigint").alias("n_tokens"), "terms")
-    return rows.where((F.col("n_tokens") > 0) | (F.col("piece_no") == 0))
+    rows = sizes.select("doc_id", full.cast("int").alias("piece_no"), (full * capacity).cast("bigint").alias("token_start"), (F.col("n_tokens") - full * capacity).cast("bigint").alias("n_tokens"), "terms", "counts", F.monotonically_increasing_id().alias("row_no"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: Statistics = statistics.value
+        for batch in batches:
+            batch["place"] = [known.place(np.asarray(t), np.asarray(c)) for t, c in zip(batch["terms"], batch["counts"], strict=True)]
+            yield batch
+
+    return rows.where((F.col("n_tokens") > 0) | (F.col("piece_no") == 0)).mapInPandas(run, f"{_ITEM}, row_no bigint, place array<bigint>")
 
 
 def full_pieces(sizes: DataFrame, capacity: int) -> DataFrame:
@@ -90,32 +132,37 @@ def full_pieces(sizes: DataFrame, capacity: int) -> DataFrame:
     return cut.select(name.alias("container_id"), F.lit(capacity).cast("bigint").alias("capacity"), F.lit(0).alias("position"), "doc_id", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("token_start"), F.lit(capacity).cast("bigint").alias("n_tokens"))
 
 
-def _best_first(score: np.ndarray, most: int) -> np.ndarray:
-    """Positions of the ``most`` highest scores in order (all of them if there are no more), ties by position."""
-    if len(score) <= most:
-        return np.argsort(-score, kind="stable")
-    top = np.sort(np.argpartition(-score, most)[:most])
-    return top[np.argsort(-score[top], kind="stable")]
+class Index:
+    """BM25 inverted index of a shard's items."""
+
+    def __init__(self, sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], statistics: Statistics):
+        self.n = len(sizes)
+        many = np.array([len(t) for t in terms], dtype=np.int64)
+        flat = np.concatenate(terms).astype(np.int64) if self.n else np.zeros(0, dtype=np.int64)
+        owner = np.repeat(np.arange(self.n), many)
+        weight = statistics.weights(flat, np.concatenate(counts) if self.n else flat, sizes[owner]) if self.n else np.zeros(0)
+        distinct, self.local = np.unique(flat, return_inverse=True)
+        order = np.argsort(self.local, kind="stable")
+        self.bounds = np.searchsorted(self.local[order], np.arange(len(distinct) + 1))
+        self.posted, self.weight = owner[order], weight[order]
+        self.starts = np.concatenate([[0], np.cumsum(many)])
+
+    def scores(self, item: int) -> np.ndarray:
+        """BM25 of all items of the shard for the terms of one of them as a query."""
+        own = self.local[self.starts[item] : self.starts[item + 1]]
+        low, many = self.bounds[own], self.bounds[own + 1] - self.bounds[own]
+        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.bincount(self.posted[at], weights=self.weight[at], minlength=self.n)
 
 
-def fill(sizes: np.ndarray, terms: list[np.ndarray], idf: np.ndarray, capacity: int, small: float = 0.3) -> list[list[int]]:
-    """Containers of item positions. ``small``: share of the capacity below which room goes to the best-fitting item."""
+def fill(sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], statistics: Statistics, capacity: int) -> list[list[int]]:
+    """Containers of item positions; see the head of the module."""
     n = len(sizes)
-    lengths = np.array([len(t) for t in terms], dtype=float)
-    mean = max(1.0, lengths.mean()) if n else 1.0
-    flat = np.concatenate(terms).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
-    owner = np.repeat(np.arange(n), lengths.astype(int))
-    distinct, local = np.unique(flat, return_inverse=True)
-    order = np.argsort(local, kind="stable")
-    bounds = np.searchsorted(local[order], np.arange(len(distinct) + 1))
-    k1, b = 1.2, 0.75
-    norm = (k1 + 1) / (1 + k1 * (1 - b + b * lengths / mean))
-    posted, weight = owner[order], (idf[distinct][local] * norm[owner])[order]
-    starts = np.concatenate([[0], np.cumsum(lengths.astype(int))])
-    unused = np.ones(n, dtype=bool)
-    unused[sizes == 0] = False
+    index = Index(sizes, terms, counts, statistics)
+    unused = sizes > 0
     by_size = np.argsort(-sizes, kind="stable")
     size_order = by_size[sizes[by_size] > 0]
+    least = int(sizes[size_order[-1]]) if len(size_order) else 0
     out: list[list[int]] = []
     cursor = 0
     while True:
@@ -126,64 +173,72 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], idf: np.ndarray, capacity:
         seed = int(size_order[cursor])
         unused[seed] = False
         taken, room = [seed], capacity - int(sizes[seed])
-        ranked: np.ndarray | None = None
-        while room > 0:
-            if room <= small * capacity:
-                rest = size_order[cursor:]
-                fits = rest[unused[rest] & (sizes[rest] <= room)]
-                if not len(fits):
-                    break
-                pick = int(fits[0])
-            else:
-                if ranked is None:
-                    own = local[starts[seed] : starts[seed + 1]]
-                    low, many = bounds[own], bounds[own + 1] - bounds[own]
-                    index = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-                    score = np.bincount(posted[index], weights=weight[index], minlength=n)
-                    ranked, at = _best_first(score, 64), 0
-                if at == len(ranked) < n:
-                    ranked = np.argsort(-score, kind="stable")
-                    at = 0
-                while at < len(ranked) and not (unused[ranked[at]] and sizes[ranked[at]] <= room):
+        if room >= least:
+            score = index.scores(seed)
+            ranked = np.flatnonzero((score > 0) & unused & (sizes <= room))
+            ranked = ranked[np.argsort(-score[ranked], kind="stable")]
+            at = 0
+            while room > SMALL * capacity:
+                while at < len(ranked) and sizes[ranked[at]] > room:
                     at += 1
-                if at == n:
-                    break
                 if at == len(ranked):
-                    continue
-                pick = int(ranked[at])
-            unused[pick] = False
-            taken.append(pick)
-            room -= int(sizes[pick])
+                    break
+                taken.append(int(ranked[at]))
+                room -= int(sizes[ranked[at]])
+                at += 1
+            unused[taken] = False
+            ranked = ranked[unused[ranked]]
+            while room >= least:
+                ranked = ranked[sizes[ranked] <= room]
+                if len(ranked):
+                    near = ranked[:CHOICE]
+                    pick = int(near[np.argmax(sizes[near])])
+                    ranked = ranked[ranked != pick]
+                else:
+                    rest = size_order[cursor:]
+                    fits = rest[unused[rest] & (sizes[rest] <= room)]
+                    if not len(fits):
+                        break
+                    pick = int(fits[0])
+                unused[pick] = False
+                taken.append(pick)
+                room -= int(sizes[pick])
         out.append(taken)
     empty = np.flatnonzero(sizes == 0).tolist()
     if empty:
         out[0].extend(empty) if out else out.append(empty)
+    assert sum(map(len, out)) == n
     return out
 
 
-def _round(items: DataFrame, shards: int, idf: object, capacity: int, full: float, name: str) -> DataFrame:
+def _round(items: DataFrame, shards: int, statistics: object, capacity: int, full: float, name: str) -> DataFrame:
     """Items with ``container_id``, ``position`` and ``used`` after one round of packing in shards.
 
-    ``items`` must come from a checkpoint: rows are spread by their place in it too, so that even one
-    id repeated without end fills all shards alike, and a repeated task spreads them the same way.
+    The order of places is cut into ``shards`` ranges; id and row number stand last in it, so that not even one document repeated without end
+    makes a large shard. A repeated task packs the same rows in the same order.
     """
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece_no"], ignore_index=True)
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        shard = TaskContext.get().partitionId()
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True).sort_values(["doc_id", "piece_no", "row_no"], ignore_index=True)
         sizes = pdf["n_tokens"].to_numpy(dtype=np.int64)
-        boxes = fill(sizes, [np.asarray(t, dtype=np.int32) for t in pdf["terms"]], idf.value, capacity)
+        boxes = fill(sizes, [np.asarray(t, dtype=np.int32) for t in pdf["terms"]], [np.asarray(c, dtype=np.int32) for c in pdf["counts"]], statistics.value, capacity)
         at = np.array([i for box in boxes for i in box], dtype=np.int64)
-        out = pdf.iloc[at][["doc_id", "piece_no", "token_start", "n_tokens", "terms"]].copy()
-        shard = int(pdf["shard"].iloc[0])
+        out = pdf.iloc[at].copy()
         out["container_id"] = [f"{name}-{shard:06d}-{k:05d}" for k, box in enumerate(boxes) for _ in box]
         out["position"] = [p for box in boxes for p in range(len(box))]
         out["used"] = [int(sizes[box].sum()) for box in boxes for _ in box]
         # only items that are packed again still need their terms
-        out["terms"] = [t if u < full * capacity else [] for t, u in zip(out["terms"], out["used"], strict=True)]
-        return out
+        for c in ("terms", "counts"):
+            out[c] = [t if u < full * capacity else [] for t, u in zip(out[c], out["used"], strict=True)]
+        yield out
 
-    spread = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no", F.monotonically_increasing_id(), F.lit(name)), F.lit(shards)).cast("int"))
-    return spread.groupBy("shard").applyInPandas(pack, f"{_ITEM}, container_id string, position int, used bigint")
+    return items.repartitionByRange(shards, "place", "doc_id", "row_no").mapInPandas(pack, f"{_ITEM}, row_no bigint, place array<bigint>, container_id string, position int, used bigint")
 
 
 def packed(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, full: float = 0.985) -> DataFrame:
@@ -194,13 +249,13 @@ def packed(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, full
     filled to less than ``full`` give their items to a second round, so at most one per shard of that round is
     far from full. A repeated document id is packed as often as it occurs. An empty table gives no rows.
     """
-    sizes = checkpointed(measured(documents, tokenizer))
+    sizes = checkpointed(measured(documents, capacity, tokenizer))
     frequencies, n, total = document_frequencies(sizes)
-    idf = sizes.sparkSession.sparkContext.broadcast(np.log1p((n - frequencies + 0.5) / (frequencies + 0.5)))
+    statistics = sizes.sparkSession.sparkContext.broadcast(Statistics(frequencies, n, total))
     shards = max(1, -(-total // (capacity * CONTAINERS_PER_SHARD)), -(-n // ITEMS_PER_SHARD))
-    first = checkpointed(_round(rests(sizes, capacity), shards, idf, capacity, full, "a"))
+    first = checkpointed(_round(rests(sizes, capacity, statistics), shards, statistics, capacity, full, "a"))
     again = first.where(F.col("used") < full * capacity).drop("container_id", "position", "used")
-    second = _round(again, max(1, shards // 16, -(-again.count() // ITEMS_PER_SHARD)), idf, capacity, full, "b")
+    second = _round(again, max(1, shards // 16, -(-again.count() // ITEMS_PER_SHARD)), statistics, capacity, full, "b")
     columns = [c.split()[0] for c in _PLACED.split(", ")]
     rows = first.where(F.col("used") >= full * capacity).unionByName(second).withColumn("capacity", F.lit(capacity).cast("bigint"))
     return rows.select(*columns).unionByName(full_pieces(sizes, capacity).select(*columns))

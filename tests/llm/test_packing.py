@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from graphloom.llm.packing import TOKENIZER, count_tokens, encoder, fill, fill_report, measured, packed
+from graphloom.llm.packing import K1, TOKENIZER, B, Index, Statistics, count_tokens, encoder, fill, fill_report, measured, packed, token_ids
 from tests.conftest import tuples
 
 DOCS = "doc_id bigint, text string, n_tokens string, terms int, shard int, container_id int"
@@ -66,21 +66,78 @@ def test_shapes(frame):
 
 
 def test_measured_terms(frame):
-    (row,) = measured(docs(frame, (1, "One one two"))).collect()
-    assert row.n_tokens == count_tokens("One one two") and len(row.terms) == 3
+    (row,) = measured(docs(frame, (1, "One one two one")), 64).collect()
+    assert row.n_tokens == count_tokens("One one two one") and sum(row.counts) == row.n_tokens and max(row.counts) == 2 and not row.others
+    (row,) = measured(docs(frame, (1, " a b b c" * 3)), 5).collect()
+    assert row.n_tokens == 12 and sum(row.counts) == 2 and len(row.terms) + len(row.others) == 3
+
+
+def test_scores_are_bm25():
+    draw = np.random.default_rng(3)
+    texts = [draw.integers(0, 30, draw.integers(1, 40)) for _ in range(50)]
+    parts = [np.unique(t, return_counts=True) for t in texts]
+    df = np.zeros(40)
+    for t, _ in parts:
+        df[t] += 1
+    known = Statistics(df, 50, sum(map(len, texts)))
+    sizes = np.array([len(t) for t in texts])
+    got = Index(sizes, [t for t, _ in parts], [c for _, c in parts], known).scores(7)
+    mean = sizes.mean()
+    for i, text in enumerate(texts):
+        score = 0.0
+        for q in set(texts[7].tolist()):
+            tf = int((text == q).sum())
+            score += np.log(1 + (50 - df[q] + 0.5) / (df[q] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(text) / mean))
+        assert abs(score - got[i]) < 1e-9
+
+
+def _sets(*sets):
+    return [np.array(t) for t in sets], [np.ones(len(t), dtype=int) for t in sets]
 
 
 def test_seed_takes_its_neighbours():
-    idf = np.ones(50)
-    terms = [np.array(t) for t in ([1, 2, 3], [7, 8], [1, 2, 4], [7, 9], [2, 3])]
-    boxes = fill(np.array([40, 39, 20, 21, 20]), terms, idf, 100, small=0.1)
+    terms, counts = _sets([1, 2, 3], [7, 8], [1, 2, 4], [7, 9], [2, 3])
+    known = Statistics(np.full(50, 2.0), 50, 200)
+    boxes = fill(np.array([40, 39, 20, 21, 20]), terms, counts, known, 100)
     assert sorted(boxes[0]) == [0, 2, 4] and sorted(boxes[1]) == [1, 3]
 
 
+def test_no_stranger_before_the_neighbours_run_out():
+    """The stranger fits best, yet a neighbour that fits comes first, in small room too."""
+    terms, counts = _sets([1, 2], [1, 5], [9, 8], [2, 6])
+    boxes = fill(np.array([80, 5, 10, 6]), terms, counts, Statistics(np.full(50, 2.0), 50, 200), 100)
+    assert boxes[0][:3] == [0, 3, 1] and 2 not in boxes[0][:3]
+
+
+def test_likely_neighbours_share_a_shard(frame):
+    """Texts of twelve subjects in random order: most of an item's best neighbours lie in its range of the order."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    vocabulary = [[word() for _ in range(12)] for _ in range(12)]
+    texts = [" ".join(draw.choice(vocabulary[i % 12]) for _ in range(30)) + " and the same words for all of them" for i in range(360)]
+    parts = [np.unique(token_ids(t), return_counts=True) for t in texts]
+    df = np.zeros(1 << 18)
+    for t, _ in parts:
+        df[t] += 1
+    sizes = np.array([int(c.sum()) for _, c in parts])
+    known = Statistics(df, len(texts), int(sizes.sum()))
+    order = sorted(range(360), key=lambda i: known.place(*parts[i]))
+    shard = np.empty(360, dtype=int)
+    shard[order] = np.arange(360) * 4 // 360
+    index = Index(sizes, [t for t, _ in parts], [c for _, c in parts], known)
+    ratio = []
+    for i in range(0, 360, 9):
+        score = index.scores(i)
+        score[i] = 0
+        ratio.append(np.sort(score[shard == shard[i]])[-10:].mean() / np.sort(score)[-10:].mean())
+    assert np.mean(ratio) > 0.88
+
+
 def test_fill_is_a_partition():
     draw = random.Random(9)
     for _ in range(50):
         n = draw.randrange(0, 60)
         sizes = np.array([draw.randrange(0, 30) for _ in range(n)], dtype=np.int64)
-        boxes = fill(sizes, [np.array(sorted(draw.sample(range(40), draw.randrange(0, 9))), dtype=np.int32) for _ in range(n)], np.ones(40), 30)
+        terms, counts = _sets(*(sorted(draw.sample(range(40), draw.randrange(0, 9))) for _ in range(n)))
+        boxes = fill(sizes, [t.astype(np.int32) for t in terms], counts, Statistics(np.ones(40), 60, 900), 30)
         assert sorted(i for b in boxes for i in b) == list(range(n)) and all(sizes[b].sum() <= 30 for b in boxes)
