@@ -1,7 +1,7 @@
 """Problem 2: one feature row per entity from events of hundreds of types.
 
-Stored state: cumulative counts and totals by entity, type and day. A window feature
-is the cumulative value at the window's end minus the one at its start, so any as-of date
+Stored state: cumulative counts and totals by entity, type and day (``write_state``, ``stored_state``); new events are added to it day by
+day (``extended_state``) without reading the old ones again. A window feature is the cumulative value at the window's end minus the one at its start, so any as-of date
 and window length is read from the same state without touching events again; recency comes from the
 largest instant. An entity's group holds at most days x types rows whatever its share of events.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,28 +26,60 @@ def distinct_events(events: DataFrame, services: DataFrame) -> DataFrame:
 
     Types and severities are upper case (``WARNING`` is ``WARN``), empty texts are null, a duration that is
     no number is null. ``at_us`` is the event's own time, or its arrival where that cannot be fixed.
-    Events without an id are kept one by one.
+    Events without an id cannot be known again and count one by one.
     """
     arrival = F.unix_micros("ingested_at")
     fields = F.struct(arrival.alias("arrival"), F.col("timestamp").alias("text"), service_of(events).alias("service"), some(F.element_at("attributes", "symbol")).alias("symbol"), F.upper(some("event_type")).alias("event_type"), F.upper(some("severity")).alias("severity"), F.expr("try_cast(attributes['duration_ms'] as decimal(18,6))").alias("duration_ms"))
-    rows = events.select(F.coalesce("event_id", F.uuid()).alias("event_id"), fields.alias("e"))
-    once = rows.groupBy("event_id").agg(F.min("e").alias("e")).select("e.*")
+    rows = events.select("event_id", fields.alias("e"))
+    named = rows.where("event_id is not null").groupBy("event_id").agg(F.min("e").alias("e"))
+    once = named.select("e.*").unionByName(rows.where("event_id is null").select("e.*"))
     timed = with_instants(once, services, "text", F.col("service"), "own_us")
     severity = F.when(F.col("severity") == "WARNING", "WARN").otherwise(F.col("severity"))
     return timed.select("service", "symbol", "event_type", severity.alias("severity"), F.coalesce("own_us", "arrival").alias("at_us"), "duration_ms")
 
 
-def cumulative_state(events: DataFrame) -> DataFrame:
-    """``service, symbol, event_type, severity, day, n, total, last_us, cum_n, cum_total`` from distinct events."""
+SERIES = [*ENTITY, "event_type", "severity"]
+
+
+def daily_counts(events: DataFrame) -> DataFrame:
+    """``service, symbol, event_type, severity, day, n, total, last_us`` from distinct events."""
     day = F.to_date(F.timestamp_micros("at_us"))
-    daily = events.groupBy(*ENTITY, "event_type", "severity", day.alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("total"), F.max("at_us").alias("last_us"))
-    running = W.partitionBy(*ENTITY, "event_type", "severity").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+    return events.groupBy(*SERIES, day.alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("total"), F.max("at_us").alias("last_us"))
+
+
+def _cumulated(daily: DataFrame) -> DataFrame:
+    running = W.partitionBy(*SERIES).orderBy("day").rowsBetween(W.unboundedPreceding, 0)
     return daily.withColumns({"cum_n": F.sum("n").over(running), "cum_total": F.sum(F.coalesce("total", F.lit(0))).over(running)})
 
 
+def cumulative_state(events: DataFrame) -> DataFrame:
+    """``service, symbol, event_type, severity, day, n, total, last_us, cum_n, cum_total`` from distinct events."""
+    return _cumulated(daily_counts(events))
+
+
+def extended_state(state: DataFrame, new_events: DataFrame) -> DataFrame:
+    """The state with distinct events that it does not hold yet, of any day: days add up, and only their sums are cumulated again.
+
+    Events must be distinct against what the state holds too; late ones of an old day raise the later cumulative values with it.
+    """
+    columns = [*SERIES, "day", "n", "total", "last_us"]
+    parts = state.select(*columns).unionByName(daily_counts(new_events).select(*columns))
+    return _cumulated(parts.groupBy(*SERIES, "day").agg(F.sum("n").alias("n"), F.sum("total").cast(state.schema["total"].dataType).alias("total"), F.max("last_us").alias("last_us")))
+
+
+def write_state(state: DataFrame, folder: str) -> None:
+    """Keep a state under a new folder, by day, so that a reader of an as-of date prunes later days."""
+    state.repartition("day").sortWithinPartitions(*SERIES).write.partitionBy("day").parquet(folder)
+
+
+def stored_state(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
+
+
 def _as_of(value: str, day: Column) -> Column:
-    """Cumulative value at the end of ``day``; values never fall, so the largest is the last."""
-    return F.coalesce(F.max(F.when(F.col("day") <= day, F.col(value))), F.lit(0))
+    """Cumulative value at the end of ``day``: the one of the last day up to it, 0 before the first."""
+    reached = F.col("day") <= day
+    return F.coalesce(F.max_by(F.when(reached, F.col(value)), F.when(reached, F.col("day"))), F.lit(0))
 
 
 def _by(wanted: Column, value: str, name: str) -> Column:

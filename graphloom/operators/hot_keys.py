@@ -1,19 +1,34 @@
 """Problem 3: per-key results where a few keys hold most records.
 
-No key is ever handled by one task on its own. Each measure starts with a native
-hash aggregate grouped by the key *and* the identity being counted, so map-side hash
-tables (which spill) combine first, the shuffle spreads by identity however hot
-the key is, and only one compact partial row per key and partition meets at the end.
+No key is ever handled by one task on its own. Identities are counted once each, so every identity has to travel once: as a
+128-bit digest beside its key, in a native hash aggregate whose bounded map-side tables (which spill) combine repeats first, and spread by digest
+however hot the key is. After that only key states combined per partition move: counts, sums and numbers of values, which merge algebraically.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _digest(column: str) -> list[Column]:
+    """128 bits that stand for a value; null stays null."""
+    known = F.col(column).isNotNull()
+    return [F.when(known, F.xxhash64(F.lit(seed), F.col(column))).alias(f"_d{seed}") for seed in (0, 1)]
+
+
+def key_counts(rows: DataFrame, keys: Sequence[str] = ("target_artifact_id", "relationship_type"), identity: str = "id") -> DataFrame:
+    """Per key: ``n_edges``, the distinct identities. One exchange by digest, one of compact counts.
+
+    A null identity counts as no edge, null keys form their own group, repeated rows count once. Other columns are not read.
+    """
+    keys = list(keys)
+    once = rows.where(F.col(identity).isNotNull()).select(*keys, *_digest(identity)).groupBy(*keys, "_d0", "_d1").agg(F.lit(1).alias("_one"))
+    return once.groupBy(*keys).agg(F.count("_one").alias("n_edges"))
+
+
 def hot_key_profile(
     rows: DataFrame,
     keys: Sequence[str] = ("target_artifact_id", "relationship_type"),
@@ -32,12 +47,13 @@ def hot_key_profile(
     keys = list(keys)
     counted = rows.where(F.col(identity).isNotNull())
     edges = (
-        counted.groupBy(*keys, identity)
+        counted.select(*keys, *_digest(identity), value)
+        .groupBy(*keys, "_d0", "_d1")
         .agg(F.max(F.col(value).cast("decimal(18,9)")).alias("_v"))
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n_edges"), F.sum("_v").alias("_s"), F.count("_v").alias("_n"))
     )
-    sources = counted.groupBy(*keys, member).agg(F.lit(1).alias("_one")).groupBy(*keys).agg(F.count(member).alias("n_sources"))
+    sources = counted.select(*keys, *_digest(member)).groupBy(*keys, "_d0", "_d1").agg(F.lit(1).alias("_one")).groupBy(*keys).agg(F.count("_d0").alias("n_sources"))
     left, right = edges.alias("l"), sources.alias("r")
     same = F.lit(True)
     for k in keys:

@@ -50,7 +50,7 @@ def p3_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return hot_keys.hot_keys(p3_profile(spark, folder)).select("target_artifact_id", "relationship_type")
+    return hot_keys.hot_keys(hot_keys.key_counts(table(spark, folder, "edges"))).select("target_artifact_id", "relationship_type")
 
 
 def _time_tables(spark: SparkSession, folder: str) -> list[DataFrame]:

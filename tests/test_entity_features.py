@@ -1,7 +1,7 @@
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
-from graphloom.operators.entity_features import cumulative_state, distinct_events, entity_features, type_counts
+from graphloom.operators.entity_features import cumulative_state, distinct_events, entity_features, extended_state, stored_state, type_counts, write_state
 from tests.conftest import tuples
 
 EVENTS = "event_id string, timestamp string, event_type string, service string, service_name string, severity string, attributes map<string,string>, ingested_at timestamp, symbol int, arrival string"
@@ -44,3 +44,19 @@ def test_nulls_and_empty(frame):
     assert [(r.service, r.symbol, r.n_events, r.n_by_severity) for r in rows] == [(None, None, 2, {"INFO": 1})]
     assert entity_features(cumulative_state(once(frame)), date(2026, 1, 5)).collect() == []
     assert entity_features(cumulative_state(once(frame, event("1", 9))), date(2026, 1, 5)).collect() == []
+
+
+def test_negative_durations(frame):
+    r = entity_features(cumulative_state(once(frame, event("1", 0, ms="10"), event("2", 20, ms="-30"), event("3", 25, ms="5"))), date(2026, 1, 31), (7,)).collect()[0]
+    assert (r.duration_total_ms, r.duration_7d, r.n_7d) == (-15, 5, 1)
+
+
+def test_stored_state_grows_by_days(spark, frame, tmp_path):
+    """A kept state, extended by later (and by late) events, reads like one made of all events at once."""
+    rows = [event(str(d), d, kind=("LOG", "Span", "ERROR")[d % 3], symbol="fg"[d % 2], ms=str(d)) for d in range(40)]
+    first, late = rows[:25] + rows[30:], rows[25:30]
+    write_state(cumulative_state(once(frame, *first)), str(tmp_path / "state"))
+    grown = extended_state(stored_state(spark, str(tmp_path / "state")), once(frame, *late))
+    for day in (date(2026, 1, 20), date(2026, 2, 6), date(2026, 3, 1)):
+        read = lambda state: tuples(entity_features(state, day).drop("n_by_event_type", "total_by_event_type", "last_by_event_type", "since_by_event_type", "n7_by_event_type", "n30_by_event_type", "n_by_severity"))  # noqa: E731, B023
+        assert read(grown) == read(cumulative_state(once(frame, *rows))) != []

@@ -1,4 +1,4 @@
-from graphloom.operators.hot_keys import hot_key_profile, hot_keys
+from graphloom.operators.hot_keys import hot_key_profile, hot_keys, key_counts
 from tests.conftest import tuples
 
 SCHEMA = "id string, source_artifact_id string, target_artifact_id string, relationship_type string, confidence double, _v int, n_edges string"
@@ -32,3 +32,9 @@ def test_share_counts_ties(frame):
 def test_hot_key_with_many_members(frame):
     df = edges(frame, *((f"e{i}", f"s{i % 700}", "hot", "USES", (i % 4) / 4) for i in range(3000)))
     assert tuples(hot_key_profile(df)) == [("hot", "USES", 3000, 700, 0.375)]
+
+
+def test_counts_alone(frame):
+    df = edges(frame, *((f"e{i % 900}", f"s{i % 70}", "hot" if i % 3 else None, "USES", 0.5) for i in range(1800)), (None, "s", "hot", "USES", 1.0))
+    assert tuples(key_counts(df)) == tuples(hot_key_profile(df).select("target_artifact_id", "relationship_type", "n_edges"))
+    assert tuples(hot_keys(key_counts(edges(frame)))) == []
