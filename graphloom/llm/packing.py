@@ -2,7 +2,7 @@
 
 Texts are measured in tokens of a public tokenizer. A text over the capacity is cut into full pieces and a
 rest; everything else stays whole. Items are brought into an order in which likely neighbours stand close (by min-hashes of their most
-telling terms) and the order is cut into shards of bounded size. Each shard holds a BM25 inverted index of its items, with document
+repeated terms) and the order is cut into shards of bounded size. Each shard holds a BM25 inverted index of its items, with document
 frequencies, term frequencies and lengths over all documents: a container starts with the largest unused item as seed, the index returns its
 unused neighbours, and those that fit are taken in order of score; when the room is small, the best-fitting of the CHOICE best neighbours that fit.
 Only when no neighbour that shares a term fits, any other item does. Items of containers that stay underfull are packed once more in fewer shards.
@@ -29,11 +29,12 @@ ITEMS_PER_SHARD = 4_096
 K1, B = 1.2, 0.75
 #: Share of the capacity below which room is small, and neighbours among which the best-fitting then is taken.
 SMALL, CHOICE = 0.3, 48
-#: Most telling terms of an item, those of them that most documents have, and min-hashes of these that make its place in the order.
-TELLING, SHARED, HASHES = 24, 4, 4
+#: A text's most repeated terms that make its place in the order, the token ids below which terms tell nothing (single bytes; a tokenizer numbers its
+#: tokens by falling frequency), and min-hashes kept.
+TELLING, COMMON, HASHES = 16, 256, 4
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_ITEM = "doc_id bigint, piece_no int, token_start bigint, n_tokens bigint, terms array<int>, counts array<int>"
+_ITEM = "doc_id bigint, piece_no int, token_start bigint, n_tokens bigint, terms array<int>, counts array<int>, place array<bigint>"
 _PLACED = "container_id string, capacity bigint, position int, doc_id bigint, piece_no int, token_start bigint, n_tokens bigint"
 
 
@@ -60,8 +61,17 @@ def count_tokens(text: str, path: str = TOKENIZER) -> int:
     return len(token_ids(text, path))
 
 
+def place(terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Where an item stands in the order: min-hashes over its most repeated terms (of equal ones the rarer)."""
+    rare = terms >= COMMON
+    if rare.any():
+        terms, counts = terms[rare], counts[rare]
+    telling = terms[np.lexsort((-terms, -counts))[:TELLING]].astype(np.uint64)
+    return np.sort(((telling + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33))[:HASHES].astype(np.int64)
+
+
 def measured(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, n_tokens, terms, counts, others`` of every document with a text.
+    """``doc_id, n_tokens, terms, counts, place, others`` of every document with a text.
 
     ``terms`` and ``counts`` are the distinct tokens of what goes into a shared container (all of a text below the capacity, else what
     is left after its full pieces), ``others`` those that only its full pieces have.
@@ -72,10 +82,10 @@ def measured(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER) ->
             ids = [token_ids(t, tokenizer) for t in batch["text"]]
             rest = [np.unique(i[len(i) // capacity * capacity :], return_counts=True) for i in ids]
             others = [np.setdiff1d(i, r[0]) if len(i) >= capacity else i[:0] for i, r in zip(ids, rest, strict=True)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(i) for i in ids], "terms": [r[0] for r in rest], "counts": [r[1].astype(np.int32) for r in rest], "others": others})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(i) for i in ids], "terms": [r[0] for r in rest], "counts": [r[1].astype(np.int32) for r in rest], "place": [place(*r) for r in rest], "others": others})
 
     rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInPandas(run, "doc_id bigint, n_tokens bigint, terms array<int>, counts array<int>, others array<int>")
+    return rows.mapInPandas(run, "doc_id bigint, n_tokens bigint, terms array<int>, counts array<int>, place array<bigint>, others array<int>")
 
 
 def document_frequencies(sizes: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -99,30 +109,12 @@ class Statistics:
         """BM25 weights of terms in an item of a length."""
         return self.idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / self.mean))
 
-    def place(self, terms: np.ndarray, counts: np.ndarray) -> list[int]:
-        """Where an item stands in the order: min-hashes over its telling terms that are not its own alone."""
-        known = self.frequencies[terms] >= 2
-        terms, counts = terms[known], counts[known]
-        if not len(terms):
-            return [0] * HASHES
-        telling = terms[np.argsort(-self.weights(terms, counts, float(counts.sum())), kind="stable")[:TELLING]]
-        shared = telling[np.argsort(-self.frequencies[telling], kind="stable")[:SHARED]].astype(np.uint64)
-        hashed = np.sort(((shared + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
-        return np.resize(hashed, HASHES).tolist()
 
-
-def rests(sizes: DataFrame, capacity: int, statistics: object) -> DataFrame:
-    """Items to be combined, with their ``place``: texts below the capacity, and what is left of longer ones after their full pieces."""
+def rests(sizes: DataFrame, capacity: int) -> DataFrame:
+    """Items to be combined: texts below the capacity, and what is left of longer ones after their full pieces."""
     full = F.floor(F.col("n_tokens") / capacity)
-    rows = sizes.select("doc_id", full.cast("int").alias("piece_no"), (full * capacity).cast("bigint").alias("token_start"), (F.col("n_tokens") - full * capacity).cast("bigint").alias("n_tokens"), "terms", "counts", F.monotonically_increasing_id().alias("row_no"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: Statistics = statistics.value
-        for batch in batches:
-            batch["place"] = [known.place(np.asarray(t), np.asarray(c)) for t, c in zip(batch["terms"], batch["counts"], strict=True)]
-            yield batch
-
-    return rows.where((F.col("n_tokens") > 0) | (F.col("piece_no") == 0)).mapInPandas(run, f"{_ITEM}, row_no bigint, place array<bigint>")
+    rows = sizes.select("doc_id", full.cast("int").alias("piece_no"), (full * capacity).cast("bigint").alias("token_start"), (F.col("n_tokens") - full * capacity).cast("bigint").alias("n_tokens"), "terms", "counts", "place", F.monotonically_increasing_id().alias("row_no"))
+    return rows.where((F.col("n_tokens") > 0) | (F.col("piece_no") == 0))
 
 
 def full_pieces(sizes: DataFrame, capacity: int) -> DataFrame:
@@ -238,7 +230,7 @@ def _round(items: DataFrame, shards: int, statistics: object, capacity: int, ful
             out[c] = [t if u < full * capacity else [] for t, u in zip(out[c], out["used"], strict=True)]
         yield out
 
-    return items.repartitionByRange(shards, "place", "doc_id", "row_no").mapInPandas(pack, f"{_ITEM}, row_no bigint, place array<bigint>, container_id string, position int, used bigint")
+    return items.repartitionByRange(shards, "place", "doc_id", "row_no").mapInPandas(pack, f"{_ITEM}, row_no bigint, container_id string, position int, used bigint")
 
 
 def packed(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, full: float = 0.985) -> DataFrame:
@@ -253,7 +245,7 @@ def packed(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, full
     frequencies, n, total = document_frequencies(sizes)
     statistics = sizes.sparkSession.sparkContext.broadcast(Statistics(frequencies, n, total))
     shards = max(1, -(-total // (capacity * CONTAINERS_PER_SHARD)), -(-n // ITEMS_PER_SHARD))
-    first = checkpointed(_round(rests(sizes, capacity, statistics), shards, statistics, capacity, full, "a"))
+    first = checkpointed(_round(rests(sizes, capacity), shards, statistics, capacity, full, "a"))
     again = first.where(F.col("used") < full * capacity).drop("container_id", "position", "used")
     second = _round(again, max(1, shards // 16, -(-again.count() // ITEMS_PER_SHARD)), statistics, capacity, full, "b")
     columns = [c.split()[0] for c in _PLACED.split(", ")]

@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from graphloom.llm.packing import K1, TOKENIZER, B, Index, Statistics, count_tokens, encoder, fill, fill_report, measured, packed, token_ids
+from graphloom.llm.packing import K1, TOKENIZER, B, Index, Statistics, count_tokens, encoder, fill, fill_report, measured, packed, place, token_ids
 from tests.conftest import tuples
 
 DOCS = "doc_id bigint, text string, n_tokens string, terms int, shard int, container_id int"
@@ -121,7 +121,7 @@ def test_likely_neighbours_share_a_shard(frame):
         df[t] += 1
     sizes = np.array([int(c.sum()) for _, c in parts])
     known = Statistics(df, len(texts), int(sizes.sum()))
-    order = sorted(range(360), key=lambda i: known.place(*parts[i]))
+    order = sorted(range(360), key=lambda i: place(*parts[i]).tolist())
     shard = np.empty(360, dtype=int)
     shard[order] = np.arange(360) * 4 // 360
     index = Index(sizes, [t for t, _ in parts], [c for _, c in parts], known)
