@@ -53,11 +53,13 @@ def mask(text: str) -> str:
     return text.translate(_CLASSES)
 
 
-@lru_cache(maxsize=4096)
 def recipe(shape: str) -> dict[str, tuple[int, int]] | None:
-    """Slices of the parts of a notation, or None for a shape that is none."""
-    if len(shape) > 80:
-        return None
+    """Slices of the parts of a notation, or None for a shape that is none. Only short shapes, which come again, are remembered."""
+    return _recipe(shape) if len(shape) <= 80 else _recipe.__wrapped__(shape)
+
+
+@lru_cache(maxsize=4096)
+def _recipe(shape: str) -> dict[str, tuple[int, int]] | None:
     for notation in _NOTATIONS:
         if found := notation.fullmatch(shape):
             return {k: found.span(k) for k, v in found.groupdict().items() if v is not None}
@@ -78,22 +80,20 @@ def _convert(texts: list[str], parts: dict[str, tuple[int, int]], zone: np.ndarr
     absent = np.iinfo(np.int64).min
     width = len(texts[0])
     codes = np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(len(texts), width)
-    digits = codes.astype(np.int64) - 48
-
     def number(name: str, default: int = 0) -> np.ndarray:
         if name not in parts:
             return np.full(len(texts), default, dtype=np.int64)
         low, high = parts[name]
         out = np.zeros(len(texts), dtype=np.int64)
         for i in range(low, high):
-            out = out * 10 + digits[:, i]
+            out = out * 10 + codes[:, i].astype(np.int64) - 48
         return out
 
     micros = np.zeros(len(texts), dtype=np.int64)
     if "f" in parts:
         low, high = parts["f"]
         for i in range(6):
-            micros = micros * 10 + (digits[:, low + i] if low + i < high else 0)
+            micros = micros * 10 + (codes[:, low + i].astype(np.int64) - 48 if low + i < high else 0)
     if "e0" in parts:
         return number("e0") * 1_000_000 + micros
     if "e3" in parts:

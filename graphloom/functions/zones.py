@@ -15,7 +15,9 @@ from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 import numpy as np
 
+#: Years that tables hold; rarer ones are looked up one by one.
 FIRST_YEAR, LAST_YEAR = 1970, 2100
+_FIRST, _LAST = (int(datetime(y, 1, 3, tzinfo=timezone.utc).timestamp()) for y in (FIRST_YEAR, LAST_YEAR - 1))
 
 
 def version() -> str:
@@ -32,7 +34,7 @@ def version() -> str:
 def transitions(name: str) -> tuple[np.ndarray, np.ndarray] | None:
     """``(wall boundaries, offsets)`` in seconds, offsets one longer; None if there is no such zone.
 
-    Times outside 1970 to 2100 take the first or last offset of the table.
+    For times near or outside the ends of the table see ``to_utc``.
     """
     try:
         zone = ZoneInfo(name)
@@ -55,12 +57,38 @@ def transitions(name: str) -> tuple[np.ndarray, np.ndarray] | None:
     return np.array(walls, dtype=np.int64), np.array(offsets, dtype=np.int64)
 
 
-def tables(names: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+class Table(tuple):
+    """``(wall boundaries, offsets)`` of a zone, with its name."""
+
+    name: str
+
+
+def tables(names: list[str]) -> dict[str, Table]:
     """Tables of those names that are zones."""
-    return {n: t for n in sorted(set(names)) if n and (t := transitions(n)) is not None}
+    out = {}
+    for n in sorted(set(names)):
+        if n and (t := transitions(n)) is not None:
+            out[n] = Table(t)
+            out[n].name = n
+    return out
+
+
+def _rare(wall: int, zone: ZoneInfo) -> int:
+    """UTC seconds of a wall time of any year: the first of two, and the offset before the change for a skipped one."""
+    try:
+        local = datetime(1970, 1, 1) + timedelta(seconds=wall)
+        return wall - int(local.replace(tzinfo=zone, fold=0).utcoffset().total_seconds())
+    except OverflowError:
+        return wall
 
 
 def to_utc(wall: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """UTC seconds of wall-clock seconds."""
+    """UTC seconds of wall-clock seconds; distinct times outside the table's years are looked up in the zone itself."""
     walls, offsets = table
-    return wall - offsets[np.searchsorted(walls, wall, side="right")]
+    out = wall - offsets[np.searchsorted(walls, wall, side="right")]
+    outside = (wall < _FIRST) | (wall >= _LAST)
+    if outside.any() and isinstance(table, Table):
+        zone = ZoneInfo(table.name)
+        distinct, where = np.unique(wall[outside], return_inverse=True)
+        out[outside] = np.array([_rare(int(w), zone) for w in distinct], dtype=np.int64)[where.ravel()]
+    return out

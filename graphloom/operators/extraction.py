@@ -12,6 +12,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ARTIFACT = ["artifact_type", "language", "name", "qualified_name", "path", "line_start", "line_end", "confidence"]
@@ -41,7 +42,7 @@ def python_records(path: str, text: str) -> list[tuple]:
         for node in ast.walk(body):
             if isinstance(node, ast.Call):
                 name = ast.unparse(node.func) if isinstance(node.func, (ast.Name, ast.Attribute)) else None
-                if name and len(name) <= 512 and name not in BUILTINS:
+                if name and name not in BUILTINS:
                     edge("CALLS", owner, name, node.lineno, 0.85)
 
     def visit(nodes: list[ast.stmt], owner: str, in_class: bool) -> None:
@@ -105,6 +106,16 @@ def _matched(rows: DataFrame, pattern: str, group: int = 1) -> DataFrame:
     return rows.withColumn("x", F.regexp_extract("line", pattern, group)).where("x <> ''")
 
 
+def _compose_services(lines: DataFrame) -> DataFrame:
+    """Lines of compose files that name a service: one level below the top key ``services``. The window holds the lines of one file."""
+    within = W.partitionBy("path").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    kept = lines.where(~F.col("line").rlike(r"^\s*(#|$)"))
+    top = F.last(F.when(F.col("line").rlike(r"^\w"), F.regexp_extract("line", r"^(\w+)", 1)), ignorenulls=True).over(within)
+    key = kept.select("*", top.alias("top"), F.length(F.regexp_extract("line", r"^( *)", 1)).alias("depth"), F.regexp_extract("line", r"^ +([\w.-]+):\s*(?:#.*)?$", 1).alias("x")).where("top = 'services' and depth > 0")
+    least = F.min("depth").over(W.partitionBy("path"))
+    return key.withColumn("least", least).where("depth = least and x <> ''")
+
+
 def line_languages(files: DataFrame) -> DataFrame:
     """EXT-02 to EXT-07 for line-oriented patterns: TypeScript and JavaScript, Java, COBOL, C and C++, SQL, Docker."""
     name, x = F.col("path"), F.col("x")
@@ -112,7 +123,24 @@ def line_languages(files: DataFrame) -> DataFrame:
     java = _lines(files, ["java"])
     cobol, native, sql, docker = _lines(files, ["cobol"]).withColumn("line", F.upper("line")), _lines(files, ["c", "cpp"]), _lines(files, ["sql", "plsql"]), _lines(files, ["dockerfile"])
     own = F.concat_ws("::", name, x)
+    java_class = F.concat_ws("::", name, F.element_at(F.split(F.element_at(F.split(F.col("path"), "/"), -1), r"\."), 1))  # by rule a file has the name of its public class
+    java_test = F.lower(F.col("path")).contains("test")
+    java_methods = _matched(java, r"^\s+(?:@\w+\s+)*(?:(?:public|protected|private|static|final|synchronized|abstract)\s+)+(?:<[^>]+>\s+)?[\w.<>\[\], ?]+?\s+(\w+)\s*\([^;=]*\)\s*(?:throws\s+[\w., ]+)?\{?\s*$")
+    java_mapped = _matched(java, r"@(?:Get|Post|Put|Delete|Patch)Mapping\((?:value\s*=\s*)?\"([^\"]+)\"")
+    java_subject = F.regexp_replace(F.element_at(F.split(F.element_at(F.split(F.col("path"), "/"), -1), r"\."), 1), r"(?:^Test|Tests?$|IT$)", "")
+    compose = _lines(files, ["yaml"]).where(F.lower(F.element_at(F.split("path", "/"), -1)).rlike(r"^(docker-)?compose[\w.-]*\.ya?ml$"))
     parts = [
+        _artifact(_matched(java, r"^\s*package\s+([\w.]+)\s*;"), "PACKAGE", F.element_at(F.split(x, r"\."), -1), x, 1.0),
+        _artifact(java_methods.where(~java_test), "METHOD", x, F.concat_ws(".", java_class, x), 0.95),
+        _artifact(java_methods.where(java_test), "TEST_CASE", x, F.concat_ws(".", java_class, x), 0.95),
+        _edge(java_methods, "CONTAINS", java_class, F.concat_ws(".", java_class, x), 1.0),
+        _edge(java_methods.where(java_test & (java_subject != "")), "TESTS", F.concat_ws(".", java_class, x), java_subject, 0.7),
+        _edge(java_mapped, "EXPOSES", java_class, own, 0.99),
+        _artifact(_matched(script, r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>"), "FUNCTION", x, own, 0.95),
+        _artifact(_compose_services(compose), "SERVICE", x, own, 0.95),
+        _artifact(_matched(docker, r"(?i)^FROM\s+(?:--\S+\s+)?(\S+)\s*$"), "DOCKER_STAGE", x, F.concat_ws("::", name, F.concat_ws("@", x, "n")), 1.0),
+        _edge(_matched(docker, r"(?i)^FROM\s+(?:--\S+\s+)?(\S+)"), "DEPENDS_ON", name, x, 1.0),
+        _edge(_matched(docker, r"(?i)^EXPOSE\s+(\d+)"), "EXPOSES", name, x, 1.0),
         _edge(_matched(script, r"^\s*import\b.*?['\"]([^'\"]+)['\"]"), "IMPORTS", name, x, 1.0),
         _artifact(_matched(script, r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), "CLASS", x, own, 1.0),
         _artifact(_matched(script, r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)"), "FUNCTION", x, own, 1.0),
@@ -153,10 +181,10 @@ def linked(records: DataFrame, snapshot_id: str) -> tuple[DataFrame, DataFrame]:
     """SNK-01: artifacts and edges of a snapshot with ids; ends without an artifact become placeholders.
 
     Ends are met by exact qualified name (the smallest id where several share it). An unknown source becomes a PACKAGE ``<source>``, an
-    unknown target an EXTERNAL_DEPENDENCY ``<external>``; both have the last dotted part as name. Texts are cut to the stored widths.
+    unknown target an EXTERNAL_DEPENDENCY ``<external>``; both have the last dotted part as name. Texts are kept whole.
     """
     snap = F.lit(snapshot_id)
-    a = records.where("record = 'A'").select(artifact_id(snap, F.col("language"), F.col("path"), F.col("kind"), F.col("qualified_name")).alias("id"), snap.alias("snapshot_id"), F.col("kind").alias("artifact_type"), "language", F.substring("name", 1, 255).alias("name"), F.substring("qualified_name", 1, 1024).alias("qualified_name"), F.substring(F.concat_ws(":", "path", "line_start"), 1, 1024).alias("location"), "line_start", "line_end", "confidence")
+    a = records.where("record = 'A'").select(artifact_id(snap, F.col("language"), F.col("path"), F.col("kind"), F.col("qualified_name")).alias("id"), snap.alias("snapshot_id"), F.col("kind").alias("artifact_type"), "language", "name", "qualified_name", F.concat_ws(":", "path", "line_start").alias("location"), "line_start", "line_end", "confidence")
     a = a.groupBy("id").agg(*(F.min(c).alias(c) for c in a.columns if c != "id"))
     known = a.groupBy("qualified_name").agg(F.min("id").alias("known"))
     e = records.where("record = 'E'").select(F.col("qualified_name").alias("source"), "target", F.col("kind").alias("relationship_type"), F.concat_ws(":", "path", "line_start").alias("source_location"), "confidence")

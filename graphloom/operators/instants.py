@@ -44,7 +44,7 @@ def with_instants(rows: DataFrame, services: DataFrame, text: str, service: Colu
 
     Texts without a zone are read in the zone of the row's service, numeric dates in its order;
     without a known service such texts stay null, as do dates that do not exist, times that are none,
-    dates without a time, unknown zone abbreviations, null, empty and over-long texts. Digits finer
+    dates without a time, unknown zone abbreviations, null and empty texts. Digits finer
     than microseconds are cut off. Repeated rows stay repeated; columns of other names stay as they are.
     """
     taken = {c.lower() for c in rows.columns}

@@ -68,11 +68,13 @@ def churn(changes: DataFrame) -> DataFrame:
     return rows.withColumn("net", F.greatest(F.lit(0), F.col("added") - F.col("removed"))).withColumn("removed_per_added", ratio)
 
 
-def scale(snapshots: DataFrame) -> DataFrame:
-    """AGG-08: size class of each snapshot by its symbols; an unknown count has none."""
-    n = F.col("total_symbols")
-    kind = F.when(n < 50, "tiny").when(n < 100, "small").when(n < 150, "medium").when(n < 250, "large").when(n.isNotNull(), "huge")
-    return once(snapshots).select(F.col("id").alias("snapshot_id"), kind.alias("scale"))
+def scale(snapshots: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """AGG-08: size class of each snapshot by its lines (per file the last line of any symbol); without any known line it has none."""
+    files = artifacts.where("line_end is not null").groupBy("snapshot_id", path_of("location").alias("file")).agg(F.max("line_end").alias("lines"))
+    total = files.groupBy("snapshot_id").agg(F.sum("lines").alias("n_lines"))
+    n = F.col("n_lines")
+    kind = F.when(n < 1_000, "tiny").when(n < 10_000, "small").when(n < 50_000, "medium").when(n < 250_000, "large").when(n.isNotNull(), "huge")
+    return snapshots.select(F.col("id").alias("snapshot_id")).distinct().join(total, "snapshot_id", "left").select("snapshot_id", "n_lines", kind.alias("scale"))
 
 
 def code_ratios(artifacts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from graphloom.plans.conformance_queries import SQL as CONFORMANCE_SQL
 from graphloom.plans.conformance_queries import _USES, _drift
 from graphloom.plans.impact_queries import SQL as IMPACT_SQL
 from graphloom.plans.impact_queries import _AFFECTED, _CHANGES, _IMPACT, _IS_TEST, _ROOTS, _affected, _reach_sql, _selection, _summary, changes, findings, node_table
-from graphloom.sources.baseline import load_baseline
+from graphloom.plans.sample_baseline import sample_baseline
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -32,7 +32,7 @@ add("trv09_caller_scores", lambda t: analysis.caller_scores(changes(t).select("g
 
 
 def _rails(t):
-    return analysis.guardrails(t.artifacts, t.edges, node_table(t), load_baseline(t._spark))
+    return analysis.guardrails(t.artifacts, t.edges, node_table(t), sample_baseline(t._spark))
 
 
 _RAILS = f"""drifted AS (SELECT snapshot_id, count(*) AS n FROM ({CONFORMANCE_SQL['arc01_drift']}) GROUP BY 1), debt AS ({CONFORMANCE_SQL['arc07_test_debt']}),

@@ -8,14 +8,14 @@ from graphloom.operators import conformance
 from graphloom.operators.snapshot_changes import snapshot_pairs
 from graphloom.plans.catalog import Catalog
 from graphloom.plans.impact_queries import _DEGREES, node_table
-from graphloom.sources.baseline import ROLES, load_baseline
+from graphloom.plans.sample_baseline import ROLES, sample_baseline
 
 CATALOG = Catalog()
 add = CATALOG.add
 
 
 def _drift(t):
-    return conformance.full_drift(t.edges, node_table(t), load_baseline(t._spark))
+    return conformance.full_drift(t.edges, node_table(t), sample_baseline(t._spark))
 
 
 def _values(rows, columns):
@@ -31,11 +31,11 @@ drift AS (SELECT DISTINCT snapshot_id, 'LAYER_BOUNDARY' AS category, v.severity,
   UNION SELECT DISTINCT snapshot_id, 'FORBIDDEN_IMPORT', 'HIGH', source_name, target_name FROM uses u JOIN {_IMPORTS} ON v.layer = u.a AND (u.target_name = v.prefix OR starts_with(u.target_name, v.prefix || '.')))"""
 
 add("arc01_drift", _drift, "edge node", _USES + "+++ SELECT * FROM drift")
-add("agg21_conformance", lambda t: conformance.conformance(t.edges, node_table(t), _drift(t), load_baseline(t._spark)), "edge node", _USES + """, n AS (SELECT snapshot_id, count(*) AS uses FROM edge WHERE upper(relationship_type) IN ('IMPORTS', 'CALLS', 'DEPENDS_ON') AND source_artifact_id IN (SELECT id FROM node) GROUP BY 1), b AS (SELECT snapshot_id, count(*) AS violations FROM drift GROUP BY 1)
+add("agg21_conformance", lambda t: conformance.conformance(t.edges, node_table(t), _drift(t), sample_baseline(t._spark)), "edge node", _USES + """, n AS (SELECT snapshot_id, count(*) AS uses FROM edge WHERE upper(relationship_type) IN ('IMPORTS', 'CALLS', 'DEPENDS_ON') AND source_artifact_id IN (SELECT id FROM node) GROUP BY 1), b AS (SELECT snapshot_id, count(*) AS violations FROM drift GROUP BY 1)
   +++ SELECT n.snapshot_id, uses, coalesce(violations, 0) AS violations, greatest(0::DOUBLE, 100 - 100 * coalesce(violations, 0) / greatest(uses, 15)) AS conformance FROM n LEFT JOIN b USING (snapshot_id)""")
 add("dif07_drift_changes", lambda t: conformance.drift_changes(_drift(t), snapshot_pairs(t.snapshots)), "edge node pair", _USES + """, k AS (SELECT p.id AS pair, category, source_name, target_name, bool_or(d.snapshot_id = p.id) AS a, bool_or(d.snapshot_id = p.prev) AS b FROM pair p JOIN drift d ON d.snapshot_id IN (p.id, p.prev) GROUP BY ALL)
   +++ SELECT pair, category, CASE WHEN a AND b THEN 'persistent' WHEN a THEN 'new' ELSE 'resolved' END AS state, count(*) AS n FROM k GROUP BY ALL""")
-add("arc05_boundaries", lambda t: conformance.boundary_evidence(_drift(t), conformance.layered_uses(t.edges, node_table(t), load_baseline(t._spark))), "edge node", _USES + """, e AS (SELECT DISTINCT d.snapshot_id, u.a AS source_layer, u.b AS target_layer, d.source_name || ' -> ' || d.target_name AS e FROM drift d JOIN uses u ON u.snapshot_id = d.snapshot_id AND u.source_name = d.source_name AND u.target_name = d.target_name WHERE category = 'LAYER_BOUNDARY'),
+add("arc05_boundaries", lambda t: conformance.boundary_evidence(_drift(t), conformance.layered_uses(t.edges, node_table(t), sample_baseline(t._spark))), "edge node", _USES + """, e AS (SELECT DISTINCT d.snapshot_id, u.a AS source_layer, u.b AS target_layer, d.source_name || ' -> ' || d.target_name AS e FROM drift d JOIN uses u ON u.snapshot_id = d.snapshot_id AND u.source_name = d.source_name AND u.target_name = d.target_name WHERE category = 'LAYER_BOUNDARY'),
   r AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, source_layer, target_layer ORDER BY e) AS k FROM e) +++ SELECT snapshot_id, source_layer, target_layer, count(*) AS n, string_agg(e, ', ' ORDER BY e) FILTER (k <= 10) AS evidence FROM r GROUP BY ALL""")
 add("arc07_test_debt", lambda t: conformance.test_debt(t.artifacts, t.edges), "art edge", """tested AS (SELECT DISTINCT target_artifact_id AS id FROM edge WHERE upper(relationship_type) IN ('TESTS', 'TESTED_BY', 'COVERS')),
   s AS (SELECT snapshot_id, count(*) FILTER (artifact_type = 'TEST_CASE') AS tests, count(*) FILTER (artifact_type IN ('MODULE', 'CLASS')) AS modules, count(*) FILTER (artifact_type IN ('MODULE', 'CLASS') AND x.id IS NULL) AS untested FROM art a LEFT JOIN tested x ON x.id = a.id GROUP BY 1), r AS (SELECT *, tests / greatest(modules, 1) AS ratio FROM s)
@@ -49,5 +49,5 @@ add("arc09_assessment", lambda t: conformance.assessment(t.artifacts, t.edges),
   w AS (SELECT b.*, coalesce(cycles, 0) AS cycles, coalesce(hubs, 0) AS hubs, coalesce(orphans, 0) AS orphans, coalesce(tested, 0) AS tested FROM b LEFT JOIN c USING (snapshot_id) LEFT JOIN h USING (snapshot_id) LEFT JOIN o USING (snapshot_id) LEFT JOIN x USING (snapshot_id))
   +++ SELECT snapshot_id, 'architecture' AS dimension, greatest(100.0 - 15 * cycles, 30)::DOUBLE AS score FROM w UNION ALL SELECT snapshot_id, 'coupling', greatest(100.0 - 12 * hubs, 40)::DOUBLE FROM w
   UNION ALL SELECT snapshot_id, 'interface', (CASE WHEN endpoints = 0 THEN 70 ELSE greatest(100.0 - 5 * orphans, 60) END)::DOUBLE FROM w UNION ALL SELECT snapshot_id, 'testing', CASE WHEN tests = 0 THEN 0::DOUBLE WHEN core = 0 THEN 50::DOUBLE ELSE least(100.0::DOUBLE * tested / core, 100::DOUBLE) END FROM w""")
-add("flt18_layers_by_prefix", lambda t: conformance.longest_prefix(node_table(t).select("id", F.trim("qualified_name").alias("q")), "q", load_baseline(t._spark).modules, "layer").select("id", "layer"), "edge node", _USES.split("uses AS")[0].rstrip().rstrip(",") + "+++ SELECT id, layer FROM lay")
+add("flt18_layers_by_prefix", lambda t: conformance.longest_prefix(node_table(t).select("id", F.trim("qualified_name").alias("q")), "q", sample_baseline(t._spark).modules, "layer").select("id", "layer"), "edge node", _USES.split("uses AS")[0].rstrip().rstrip(",") + "+++ SELECT id, layer FROM lay")
 QUERIES, SQL = CATALOG.queries, CATALOG.sql

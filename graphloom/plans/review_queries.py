@@ -15,7 +15,7 @@ from graphloom.plans.conformance_queries import _POLICY, _USES
 from graphloom.plans.impact_queries import _AFFECTED, _CHANGES, _DEGREES, _IMPACT, _IS_TEST, _REVERSED, _affected, _reach_sql, _unaffected, changes, findings, node_table
 from graphloom.plans.view_queries import _ENTRY
 from graphloom.session import checkpointed
-from graphloom.sources.baseline import load_baseline
+from graphloom.plans.sample_baseline import sample_baseline
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -57,10 +57,10 @@ add("rsk07_component_factors", lambda t: review.component_factors(runtime.compon
 
 
 def _uses(t):
-    return conformance.layered_uses(t.edges, node_table(t), load_baseline(t._spark))
+    return conformance.layered_uses(t.edges, node_table(t), sample_baseline(t._spark))
 
 
-add("arc04_guardrails", lambda t: review.guardrail_rows(None, load_baseline(t._spark).policy, _uses(t)), "edge node", _USES + f""", h AS (SELECT snapshot_id, v.a || ' -> ' || v.b AS rule, count(DISTINCT (source_name, target_name)) AS n FROM uses u JOIN {_POLICY} ON v.a = u.a AND v.b = u.b GROUP BY ALL), r AS (SELECT DISTINCT v.a || ' -> ' || v.b AS rule FROM {_POLICY}), s AS (SELECT DISTINCT snapshot_id FROM uses)
+add("arc04_guardrails", lambda t: review.guardrail_rows(None, sample_baseline(t._spark).policy, _uses(t)), "edge node", _USES + f""", h AS (SELECT snapshot_id, v.a || ' -> ' || v.b AS rule, count(DISTINCT (source_name, target_name)) AS n FROM uses u JOIN {_POLICY} ON v.a = u.a AND v.b = u.b GROUP BY ALL), r AS (SELECT DISTINCT v.a || ' -> ' || v.b AS rule FROM {_POLICY}), s AS (SELECT DISTINCT snapshot_id FROM uses)
   +++ SELECT s.snapshot_id, r.rule, coalesce(h.n, 0) AS n, CASE WHEN h.n > 0 THEN 'VIOLATION' ELSE 'PASS' END AS status FROM s CROSS JOIN r LEFT JOIN h ON h.snapshot_id = s.snapshot_id AND h.rule = r.rule""")
 _SCORES = f"WITH d AS ({conformance_queries.SQL['arc09_assessment']}) "
 add("arc10_weakest", lambda t: review.weakest_dimensions(conformance.assessment(t.artifacts, t.edges)), "", _SCORES + "SELECT *, (row_number() OVER (PARTITION BY snapshot_id ORDER BY score, dimension))::INT AS rank FROM d WHERE score < 80 QUALIFY rank <= 2")

@@ -13,7 +13,7 @@ from graphloom.sources.files import EXTENSIONS, line_count
 CATALOG = Catalog()
 add = CATALOG.add
 _FILE = "split_part(replace(location, '\\', '/'), ':', 1)"
-_EXT = "(VALUES " + ", ".join(f"('{e}', '{n}')" for n, es in EXTENSIONS.items() for e in es.split()) + ") AS v(ext, language)"
+_EXT = "(VALUES " + ", ".join(f"('{e}', '{n}')" for e, n in EXTENSIONS.items()) + ") AS v(ext, language)"
 
 
 def _code(t):

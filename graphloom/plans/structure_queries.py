@@ -43,7 +43,13 @@ add(
     +++ SELECT repository_id, n, coalesce(nullif(concat_ws(',', CASE WHEN night >= 0.3 THEN 'night' END, CASE WHEN early >= 0.2 THEN 'early' END, CASE WHEN weekend >= 0.25 THEN 'weekend' END, CASE WHEN office >= 0.4 THEN 'office' END), ''), 'steady') AS tags FROM s""",
 )
 add("agg07_churn", lambda t: structure.churn(snapshot_changes(t.snapshots, t.artifacts)), "", _DIFF.strip().removeprefix("WITH") + "+++ SELECT *, greatest(0, added - removed) AS net, CASE WHEN added > 0 THEN least(100.0::DOUBLE, 100 * removed / added) ELSE 0.0::DOUBLE END AS removed_per_added FROM (SELECT snapshot_id, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed FROM changes GROUP BY 1)")
-add("agg08_scale", lambda t: structure.scale(t.snapshots), "snap", "+++ SELECT id AS snapshot_id, CASE WHEN total_symbols < 50 THEN 'tiny' WHEN total_symbols < 100 THEN 'small' WHEN total_symbols < 150 THEN 'medium' WHEN total_symbols < 250 THEN 'large' WHEN total_symbols IS NOT NULL THEN 'huge' END AS scale FROM snap")
+add(
+    "agg08_scale",
+    lambda t: structure.scale(t.snapshots, t.artifacts),
+    "snap",
+    """loc AS (SELECT snapshot_id, CAST(sum(n) AS BIGINT) AS n_lines FROM (SELECT snapshot_id, split_part(replace(location, '\\', '/'), ':', 1) AS file, max(line_end) AS n FROM artifacts WHERE line_end IS NOT NULL GROUP BY ALL) GROUP BY 1)
+    +++ SELECT s.id AS snapshot_id, n_lines, CASE WHEN n_lines < 1000 THEN 'tiny' WHEN n_lines < 10000 THEN 'small' WHEN n_lines < 50000 THEN 'medium' WHEN n_lines < 250000 THEN 'large' WHEN n_lines IS NOT NULL THEN 'huge' END AS scale FROM snap s LEFT JOIN loc ON loc.snapshot_id = s.id""",
+)
 add(
     "agg09_code_ratios",
     lambda t: structure.code_ratios(t.artifacts, t.edges),

@@ -6,26 +6,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Roots under which the modules of a role may lie.
-ROOTS = ["", "core.", "lib.", "app."]
-
-
-def _under_roots(names: str) -> list[str]:
-    return [root + name for name in names.split() for root in ROOTS]
-
-
-#: A baseline for graphs whose modules are named by role; used where no file is given.
-ROLES = {
-    "layers": {
-        "presentation": {"modules": _under_roots("gateway router lens channel relay harbor beacon mirror"), "allowed": ["application", "domain"], "forbidden": []},
-        "application": {"modules": _under_roots("dispatch planner scheduler courier loader mapper intake parser resolver walker linker"), "allowed": [], "forbidden": ["presentation"]},
-        "domain": {"modules": _under_roots("ledger journal notary catalog atlas compass tracker monitor roster docket"), "allowed": [], "forbidden": ["presentation", "application"]},
-        "infrastructure": {"modules": _under_roots("cache store vault pool spooler queue shard index buffer engine"), "allowed": ["domain"], "forbidden": []},
-    },
-    "forbidden_imports": {"domain": ["mellowpool", "opalsigner", "marblerelay"]},
-}
-
-
 class Baseline:
     """Tables of a baseline: ``modules(prefix, layer)``, ``policy(source_layer, target_layer, verdict)``, ``imports(layer, prefix)``, ``rules(rule_source, rule_target, category, severity)``."""
 
@@ -50,10 +30,8 @@ class Baseline:
         self.imports: DataFrame = spark.createDataFrame(imports, "layer string, import_prefix string")
 
 
-def load_baseline(spark: SparkSession, path: str | None = None) -> Baseline:
-    """The baseline of a YAML file, or the built-in one without a path."""
-    if path is None:
-        return Baseline(spark, ROLES)
+def load_baseline(spark: SparkSession, path: str) -> Baseline:
+    """The baseline of a YAML file."""
     import yaml
 
     return Baseline(spark, yaml.safe_load(Path(path).read_text()) or {})

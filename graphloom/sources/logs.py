@@ -25,7 +25,7 @@ def commits(log: DataFrame, most_files: int = 50) -> DataFrame:
     A block is ``sha, parents, author, date, subject`` separated by the unit separator, then one line per file: added, deleted, path; ``-`` is binary.
     """
     head = F.split(F.split_part("value", F.lit("\n"), F.lit(1)), "\x1f")
-    files = F.filter(F.slice(F.split("value", "\n"), 2, 1_000_000), lambda x: x.rlike(r"^(\d+|-)\t(\d+|-)\t"))
+    files = F.filter(F.split("value", "\n"), lambda x: x.rlike(r"^(\d+|-)\t(\d+|-)\t"))
     part = lambda x, i: F.split_part(x, F.lit("\t"), F.lit(i))
     number = lambda i: F.aggregate(files, F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(F.try_to_number(F.nullif(part(x, i), F.lit("-")), F.lit("999999999")).cast("bigint"), F.lit(0).cast("bigint")))
     rows = log.select(head.alias("h"), files.alias("f"), number(1).alias("additions"), number(2).alias("deletions"))

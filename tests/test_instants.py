@@ -93,6 +93,13 @@ def test_random_local_times_equal_zoneinfo():
     assert out.tolist() == expected
 
 
+def test_long_decimals_and_far_years():
+    assert one("2026-01-31T12:00:00." + "1" * 70 + "Z") == micros(datetime(2026, 1, 31, 12, tzinfo=timezone.utc)) + 111_111
+    for moment in (datetime(2150, 7, 1, 9), datetime(2150, 1, 1, 9), datetime(1950, 7, 1, 9), datetime(1890, 1, 1, 9), datetime(2099, 12, 31, 23, 30)):
+        for zone in ("Europe/Berlin", "America/New_York", "Asia/Kolkata"):
+            assert one(moment.strftime("%Y-%m-%d %H:%M:%S"), zone) == micros(moment.replace(tzinfo=ZoneInfo(zone)))
+
+
 def test_masks_are_parsed_once():
     assert mask("2025-09-15T00:13:15Z") == "dddd-dd-ddadd:dd:dda"
     assert recipe("dddd-dd-ddadd:dd:dda") is recipe("dddd-dd-ddadd:dd:dda")

@@ -2,7 +2,8 @@ import textwrap
 
 from graphloom.operators import conformance, discovery, extraction
 from graphloom.sources.baseline import Baseline, load_baseline
-from graphloom.sources.files import scan_tree
+from graphloom.sources import files as source_files
+from graphloom.sources.files import scan_report, scan_tree
 from graphloom.sources.logs import ancestors, commits, hunks, labels, name_status
 from tests.conftest import tuples
 
@@ -33,6 +34,33 @@ def test_python_records():
     assert [r[1] for r in extraction.python_records("a.py", "def (:")] == ["MODULE"]
 
 
+def test_lines_of_languages(frame):
+    java = "package shop.cart;\npublic class Basket {\n    private int n = 1;\n    public int add(int x) {\n        return check(x);\n    }\n    @PostMapping(\"/add\")\n    protected static List<String> names() throws IOException {\n}\n"
+    test = "class BasketTest {\n    @Test\n    public void adds() {\n    }\n}\n"
+    compose = "version: '3'\nservices:\n  web:\n    image: x\n    environment:\n      A: b\n  # note\n  db:\n    image: y\nvolumes:\n  data:\n"
+    docker = "FROM python:3\nFROM node:20 AS ui\nEXPOSE 8080\n"
+    script = "export const load = async (x) => 1\nconst n = 3\n"
+    rows = [("src/Basket.java", "java", java), ("test/BasketTest.java", "java", test), ("docker-compose.yml", "yaml", compose), ("other.yml", "yaml", compose), ("Dockerfile", "dockerfile", docker), ("a.ts", "typescript", script)]
+    found = extraction.line_languages(frame("path string, language string, text string", *rows))
+    arts = {(k, n) for k, n in tuples(found.where("record = 'A'"), "kind", "name")}
+    assert {("PACKAGE", "cart"), ("METHOD", "add"), ("METHOD", "names"), ("TEST_CASE", "adds"), ("SERVICE", "web"), ("SERVICE", "db"), ("DOCKER_STAGE", "python:3"), ("DOCKER_STAGE", "ui"), ("FUNCTION", "load")} <= arts
+    assert not {("SERVICE", "data"), ("SERVICE", "image"), ("METHOD", "check"), ("FUNCTION", "n"), ("DOCKER_STAGE", "node:20")} & arts
+    links = {(k, q, t) for k, q, t in tuples(found.where("record = 'E'"), "kind", "qualified_name", "target")}
+    assert {("CONTAINS", "src/Basket.java::Basket", "src/Basket.java::Basket.add"), ("TESTS", "test/BasketTest.java::BasketTest.adds", "Basket"), ("EXPOSES", "src/Basket.java::Basket", "src/Basket.java::/add"), ("DEPENDS_ON", "Dockerfile", "node:20"), ("EXPOSES", "Dockerfile", "8080")} <= links
+
+
+def test_limits_are_reported(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_files, "MAX_FILE_BYTES", 10)
+    monkeypatch.setattr(source_files, "MAX_DEPTH", 3)
+    for name, text in {"a.py": "x = 1\n", "big.py": "x" * 11, "p/q/r/s.py": "x\n"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    tree = scan_tree(spark, str(tmp_path))
+    assert tuples(tree, "path", "skipped", "text") == [("a.py", None, "x = 1\n"), ("big.py", "file_size", None), ("p/q/r/s.py", "depth", None)]
+    assert tuples(scan_report(tree, max_files=2)) == [(3, 19, 1, 0, 1, True)]
+    assert tuples(scan_report(tree, None, None), "over_limit") == [(False,)]
+
+
 def test_tree_to_graph(spark, tmp_path):
     files = {
         "src/shop/cart.py": PYTHON, "web/app.ts": "import { x } from './x'\nexport class Page {}\nexport function go() {}\ntest('opens', () => {})\n", "A.java": "import a.b.C;\npublic class A extends B {}\ninterface I {}\n@GetMapping(\"/a\")\n",
