@@ -172,11 +172,9 @@ def label_set(scenarios: DataFrame) -> DataFrame:
     return scenarios.select("case_id", F.explode(kinds).alias("k")).select("case_id", "k.label", F.explode("k.names").alias("entity")).where("entity is not null").distinct()
 
 
-def full_prediction(changes: DataFrame, findings: DataFrame) -> DataFrame:
-    """MSC-13: the full algorithm as a fourth baseline: changed and affected nodes per pair, with the mean depth of the latter."""
-    own = changes.select("pair", F.col("artifact_id").alias("node"), F.lit(0).alias("depth"))
-    far = findings.select("graph", "root", "node", "depth").join(changes.select("pair", "graph", F.col("artifact_id").alias("root")), ["graph", "root"]).select("pair", "node", "depth")
-    best = own.unionByName(far).groupBy("pair", "node").agg(F.min("depth").alias("depth"))
+def full_prediction(changes: DataFrame, links: DataFrame, max_depth: int = 5) -> DataFrame:
+    """MSC-13: the full algorithm as a fourth baseline: changed and affected nodes per pair, with the sum and the greatest of their depths; one traversal per pair."""
+    best = impact.reached_per_pair(changes, links, max_depth).groupBy(F.col("root").alias("pair"), "node").agg(F.min("depth").alias("depth"))
     return best.groupBy("pair").agg(F.count(F.lit(1)).alias("nodes"), F.sum("depth").alias("depths"), F.max("depth").alias("max_depth"))
 
 

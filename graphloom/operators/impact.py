@@ -7,18 +7,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.graph import TEST_RULES, is_test, path_of
+from graphloom.functions.text import some
 from graphloom.operators.graph import adjacency, once
 from graphloom.operators.snapshot_changes import snapshot_pairs
 from graphloom.operators.traversal import reach, reversed_all
 
-#: Artifact types by what an affected node counts as, in order of precedence.
-CATEGORIES = {"TEST": ["TEST_CASE", "TEST_SUITE"], "API": ["API_ENDPOINT", "ROUTE"], "DATABASE": ["DATABASE_ENTITY", "DATABASE_TABLE", "SQL_TABLE", "SQL_VIEW"]}
+#: What an affected node counts as, in order of precedence: parts of its type, and parts of its name.
+TERMINALS = {"TEST": (["test"], ["test"]), "API": (["api", "endpoint", "route"], []), "PROCESS": (["process", "workflow"], []), "DATABASE": (["db", "table", "entity"], [])}
+CLASSES = {"TEST": (["test"], ["test"]), "API": (["api", "endpoint"], ["route", "/api/"]), "PROCESS": (["process"], ["workflow"]), "SERVICE": (["service"], ["service"]), "DATABASE": (["database"], ["table"])}
+#: Types that a schema migration changes.
+DATABASE_TYPES = ["DATABASE_ENTITY", "DATABASE_TABLE", "SQL_TABLE", "SQL_VIEW"]
 
 
-def category(kind: F.Column) -> F.Column:
+def counted_as(kind: F.Column, name: F.Column, table: dict) -> F.Column:
+    """The first class of a table that a type or name falls into, COMPONENT if none."""
     out = F.lit("COMPONENT")
-    for name in reversed(CATEGORIES):
-        out = F.when(F.upper(kind).isin(CATEGORIES[name]), name).otherwise(out)
+    for label in reversed(table):
+        hit = F.lit(False)
+        for text, parts in zip((kind, name), table[label], strict=True):
+            for part in parts:
+                hit = hit | F.coalesce(F.lower(text).contains(part), F.lit(False))
+        out = F.when(hit, label).otherwise(out)
     return out
 
 
@@ -48,29 +57,69 @@ def change_summary(changes: DataFrame) -> DataFrame:
     return changes.groupBy("pair").agg(*kinds, F.count_distinct("source_file").alias("files"))
 
 
-def impact_findings(changes: DataFrame, edges: DataFrame, placeholders: DataFrame | None = None, max_depth: int = 5) -> DataFrame:
-    """TRV-01: ``graph, root, node, depth, rel, confidence, path, classification`` of everything a change affects."""
+def impact_findings(changes: DataFrame, edges: DataFrame, placeholders: DataFrame | None = None, max_depth: int = 5, left_out: DataFrame | None = None) -> DataFrame:
+    """TRV-01: ``graph, root, node, depth, rel, confidence, path, classification`` of everything a change affects.
+
+    Nodes of ``left_out`` (``node``; tests or endpoints that are not asked for) are neither reported nor passed.
+    """
     roots = changes.select("graph", F.col("artifact_id").alias("root"))
-    found = reach(roots, adjacency(edges, placeholders=placeholders), max_depth).where("depth > 0")
+    links = adjacency(edges, placeholders=placeholders)
+    if left_out is not None:
+        links = links.join(left_out.select(F.col("node").alias("dst")).distinct(), "dst", "left_anti")
+    found = reach(roots, links, max_depth).where("depth > 0")
     return found.withColumn("classification", F.when(F.col("depth") == 1, "DIRECT").otherwise("PROVEN_TRANSITIVE"))
 
 
+def names_of(node_table: DataFrame) -> DataFrame:
+    """``node, name, kind``: the qualified name of a node, its id where it has none."""
+    return node_table.select(F.col("id").alias("node"), F.coalesce(some("qualified_name"), "id").alias("name"), F.col("artifact_type").alias("kind"))
+
+
+def named_findings(findings: DataFrame, node_table: DataFrame) -> DataFrame:
+    """TRV-01: findings by name: of several with one graph, root name, affected name and relationship the least deep, then the smallest ids.
+
+    ``completeness`` per graph is COMPLETE, or PARTIAL where a finding meets a node that no table knows.
+    """
+    names = names_of(node_table)
+    rows = findings.join(names.select(F.col("node").alias("root"), F.col("name").alias("root_name")), "root", "left").join(names.select("node", F.col("name").alias("affected_name"), F.lit(True).alias("known")), "node", "left")
+    rows = rows.select("graph", F.coalesce("root_name", "root").alias("root_name"), F.coalesce("affected_name", "node").alias("affected_name"), "rel", F.struct("depth", "root", "node", "path", "confidence").alias("f"), F.coalesce("known", F.lit(False)).alias("known"))
+    best = rows.groupBy("graph", "root_name", "affected_name", "rel").agg(F.min("f").alias("f"), F.bool_and("known").alias("known"))
+    partial = best.where(~F.col("known")).select("graph").distinct().withColumn("partial", F.lit(True))
+    done = best.join(partial, "graph", "left")
+    return done.select("graph", "root_name", "affected_name", "rel", "f.*", F.when(F.col("f.depth") == 1, "DIRECT").otherwise("PROVEN_TRANSITIVE").alias("classification"), F.when(F.col("partial"), "PARTIAL").otherwise("COMPLETE").alias("completeness"))
+
+
 def impact_paths(findings: DataFrame, node_table: DataFrame) -> DataFrame:
-    """TRV-04: findings with the category of the node a path ends in, the path as text and its length."""
-    kinds = node_table.select(F.col("id").alias("node"), category(F.col("artifact_type")).alias("terminal"))
-    return findings.join(kinds, "node", "left").select("graph", "root", "node", F.coalesce("terminal", F.lit("COMPONENT")).alias("terminal"), "depth", F.array_join("path", " > ").alias("path"), "confidence")
+    """TRV-04: findings with what the node a path ends in counts as, the path as text and its length; of equal paths the most confident."""
+    kinds = names_of(node_table).select("node", counted_as(F.col("kind"), F.col("name"), TERMINALS).alias("terminal"))
+    rows = findings.select("graph", "root", "node", "depth", F.array_join("path", " > ").alias("path"), "confidence")
+    best = rows.groupBy("graph", "root", "node", "depth", "path").agg(F.max("confidence").alias("confidence"))
+    return best.join(kinds, "node", "left").select("graph", "root", "node", F.coalesce("terminal", F.lit("COMPONENT")).alias("terminal"), "depth", "path", "confidence")
 
 
 def impact_summary(changes: DataFrame, findings: DataFrame, node_table: DataFrame) -> DataFrame:
-    """TRV-05: per pair: changed, directly and indirectly affected, unique, by category, greatest depth."""
-    rows = impact_paths(findings, node_table).join(changes.select("pair", "graph", F.col("artifact_id").alias("root")), ["graph", "root"])
-    reached = rows.groupBy("pair", "node").agg(F.min("depth").alias("near"), F.max("depth").alias("far"), F.first("terminal").alias("terminal"))
-    sums = reached.groupBy("pair").agg(F.count_if(F.col("near") == 1).alias("direct"), F.count_if(F.col("far") > 1).alias("indirect"), F.count(F.lit(1)).alias("unique_affected"), *(F.count_if(F.col("terminal") == k).alias(f"n_{k.lower()}") for k in ("TEST", "API", "DATABASE", "COMPONENT")), F.max("far").alias("max_depth"))
+    """TRV-05: per pair: changed, directly and indirectly affected names, unique ones, by class, greatest depth.
+
+    Direct and indirect may overlap, a service counts as a component too. A name that several nodes have counts once in each of their classes.
+    """
+    kinds = names_of(node_table).select("node", "name", counted_as(F.col("kind"), F.col("name"), CLASSES).alias("class"))
+    reached = findings.select("graph", "root", "node", "depth").join(changes.select("pair", "graph", F.col("artifact_id").alias("root")), ["graph", "root"])
+    reached = reached.groupBy("pair", "node").agg(F.min("depth").alias("near"), F.max("depth").alias("far"))
+    rows = reached.join(kinds, "node", "left").select("pair", "near", "far", F.coalesce("name", "node").alias("name"), F.coalesce("class", F.lit("COMPONENT")).alias("class"))
+    labels = [*CLASSES, "COMPONENT"]
+    has = {k: F.bool_or(F.col("class").isin("COMPONENT", "SERVICE") if k == "COMPONENT" else F.col("class") == k).alias(k) for k in labels}
+    names = rows.groupBy("pair", "name").agg(F.min("near").alias("near"), F.max("far").alias("far"), *has.values())
+    sums = names.groupBy("pair").agg(F.count_if(F.col("near") == 1).alias("direct"), F.count_if(F.col("far") > 1).alias("indirect"), F.count(F.lit(1)).alias("unique_affected"), *(F.count_if(k).alias(f"n_{k.lower()}") for k in labels), F.max("far").alias("max_depth"))
     changed = changes.groupBy("pair").agg(F.count(F.lit(1)).alias("changed"))
     counts = [c for c in sums.columns if c != "pair"]
     return changed.join(sums, "pair", "left").select("pair", "changed", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
 
 
+def reached_per_pair(changes: DataFrame, adjacency: DataFrame, max_depth: int) -> DataFrame:
+    """One traversal per pair and graph from all its changed nodes at once; ``root`` is the pair."""
+    return reach(changes.select("graph", F.col("pair").alias("root"), F.col("artifact_id").alias("node")), adjacency, max_depth)
+
+
 def blast_radius(roots: DataFrame, edges: DataFrame, node_table: DataFrame, max_depth: int = 4) -> DataFrame:
     """TRV-07: per root: affected components, endpoints and tests, score and risk level."""
     found = reach(roots, reversed_all(once(edges)), max_depth)
@@ -86,9 +135,9 @@ def blast_radius(roots: DataFrame, edges: DataFrame, node_table: DataFrame, max_
 
 def affected_tests(changes: DataFrame, edges: DataFrame, node_table: DataFrame, max_depth: int = 6) -> DataFrame:
     """TRV-11, TST-01, TST-02: per pair and test: least depth, whether direct, provenance and confidence."""
-    found = reach(changes.select("graph", F.col("artifact_id").alias("root")), adjacency(edges, TEST_RULES), max_depth)
+    found = reached_per_pair(changes, adjacency(edges, TEST_RULES), max_depth)
     tests = node_table.where(is_test(F.col("artifact_type"), F.col("location"), F.col("name"))).select(F.col("id").alias("node"), F.col("qualified_name").alias("test_name"))
-    rows = found.join(tests, "node").join(changes.select("pair", "graph", F.col("artifact_id").alias("root")), ["graph", "root"])
+    rows = found.join(tests, "node").withColumnRenamed("root", "pair")
     best = rows.groupBy("pair", "node", "test_name").agg(F.min(F.struct("depth", F.array_join("path", ">").alias("path"), "rel")).alias("b"))
     depth = F.col("b.depth")
     return best.select("pair", F.col("node").alias("test_id"), "test_name", depth.alias("depth"), F.when(depth <= 1, "DIRECT").otherwise("INDIRECT").alias("impact"), F.when((depth == 1) & (F.col("b.rel") == "TESTS"), "OBSERVED").otherwise("INFERRED").alias("provenance"), F.greatest(F.lit(0.6), 1 - 0.1 * (F.greatest(depth, F.lit(1)) - 1)).alias("confidence"))
@@ -112,7 +161,7 @@ def test_selection(affected: DataFrame, unaffected: DataFrame) -> DataFrame:
 def mutations_of(changes: DataFrame) -> DataFrame:
     """DIF-06: one proposed mutation per changed symbol name, the first of each."""
     order = W.partitionBy("pair", "qualified_name").orderBy("change_type", "artifact_id")
-    kind = F.when(F.col("change_type") == "REMOVED", "REMOVE_COMPONENT").when(F.col("artifact_type") == "API_ENDPOINT", "MODIFY_API").when(F.col("artifact_type").isin(CATEGORIES["DATABASE"]), "SCHEMA_MIGRATION").otherwise("MODIFY_SYMBOL")
+    kind = F.when(F.col("change_type") == "REMOVED", "REMOVE_COMPONENT").when(F.col("artifact_type") == "API_ENDPOINT", "MODIFY_API").when(F.col("artifact_type").isin(DATABASE_TYPES), "SCHEMA_MIGRATION").otherwise("MODIFY_SYMBOL")
     return changes.withColumn("n", F.row_number().over(order)).where("n = 1").select("pair", F.col("qualified_name").alias("target"), kind.alias("mutation_type"))
 
 

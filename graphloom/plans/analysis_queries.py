@@ -6,13 +6,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators import analysis, composites
-from graphloom.operators.graph import once
+from graphloom.operators.graph import adjacency, once, placeholder_map
 from graphloom.operators.snapshot_changes import snapshot_pairs
 from graphloom.plans.catalog import Catalog
 from graphloom.plans.conformance_queries import SQL as CONFORMANCE_SQL
 from graphloom.plans.conformance_queries import _USES, _drift
 from graphloom.plans.impact_queries import SQL as IMPACT_SQL
-from graphloom.plans.impact_queries import _AFFECTED, _CHANGES, _IMPACT, _IS_TEST, _ROOTS, _affected, _reach_sql, _selection, _summary, changes, findings, node_table
+from graphloom.plans.impact_queries import _AFFECTED, _CHANGES, _IMPACT, _IS_TEST, _ROOTS, _affected, _reach_sql, _selection, _summary, changes, node_table
 from graphloom.plans.sample_baseline import sample_baseline
 
 CATALOG = Catalog()
@@ -55,8 +55,7 @@ add("tst07_ordered_tests", lambda t: _affected(t).withColumn("rank", F.row_numbe
 
 
 def _full(t):
-    changed = changes(t)
-    return analysis.full_prediction(changed, findings(t, changed))
+    return analysis.full_prediction(changes(t), adjacency(t.edges, placeholders=placeholder_map(t.artifacts, t.external_nodes)))
 
 
 add("msc13_full_prediction", _full, "art edge pair", _IMPACT + ", b AS (SELECT c.pair, r.node, min(r.depth) AS depth FROM reach r JOIN ch c ON c.graph = r.graph AND c.artifact_id = r.root GROUP BY ALL) +++ SELECT pair, count(*) AS nodes, sum(depth)::BIGINT AS depths, max(depth)::INT AS max_depth FROM b GROUP BY 1")

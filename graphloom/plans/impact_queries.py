@@ -59,16 +59,23 @@ def _reach_sql(roots: str, depth: int, adj: str = "adj") -> str:
     for d in range(1, depth + 1):
         seen = " UNION ALL ".join(f"SELECT graph, root, node FROM r{k}" for k in range(d))
         parts.append(f"""r{d} AS (SELECT graph, root, node, {d} AS depth, b.path AS path, b.rel AS rel, b.confidence AS confidence FROM (
-          SELECT f.graph, f.root, a.dst AS node, min({{'path': list_append(f.path, a.dst), 'rel': a.rel, 'confidence': f.confidence * a.weight}}) AS b FROM r{d - 1} f JOIN {adj} a ON a.graph = f.graph AND a.src = f.node GROUP BY ALL) c
+          SELECT f.graph, f.root, a.dst AS node, min({{'path': list_append(f.path, a.dst), 'rel': a.rel, 'confidence': round(CAST(f.confidence * a.weight AS DECIMAL(18,12)), 4)::DOUBLE}}) AS b FROM r{d - 1} f JOIN {adj} a ON a.graph = f.graph AND a.src = f.node GROUP BY ALL) c
           WHERE NOT EXISTS (SELECT 1 FROM ({seen}) s WHERE s.graph = c.graph AND s.root = c.root AND s.node = c.node))""")
     union = " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(depth + 1))
     return ", ".join(parts) + f", reach AS ({union})"
 
 
 _ROOTS = "SELECT graph, artifact_id AS root FROM ch"
-_CATEGORY = "CASE WHEN upper(artifact_type) IN ('TEST_CASE','TEST_SUITE') THEN 'TEST' WHEN upper(artifact_type) IN ('API_ENDPOINT','ROUTE') THEN 'API' WHEN upper(artifact_type) IN ('DATABASE_ENTITY','DATABASE_TABLE','SQL_TABLE','SQL_VIEW') THEN 'DATABASE' ELSE 'COMPONENT' END"
+
+
+def _class_sql(table: dict) -> str:
+    tests = lambda c, parts: [f"contains(lower(coalesce({c}, '')), '{p}')" for p in parts]
+    return "CASE " + " ".join(f"WHEN {' OR '.join(tests('artifact_type', kinds) + tests('name_', names))} THEN '{k}'" for k, (kinds, names) in table.items()) + " ELSE 'COMPONENT' END"
+
+
+_NAMED = "named AS (SELECT id, artifact_type, coalesce(nullif(trim(qualified_name), ''), id) AS name_ FROM node)"
 _IMPACT = _CHANGES + _adjacency_sql(IMPACT_RULES) + _reach_sql(_ROOTS, 5)
-_PATHS = _IMPACT + f", found AS (SELECT r.graph, r.root, r.node, coalesce({_CATEGORY}, 'COMPONENT') AS terminal, r.depth, array_to_string(r.path, ' > ') AS path, r.confidence FROM reach r LEFT JOIN node n ON n.id = r.node WHERE r.depth > 0)"
+_PATHS = _IMPACT + f", {_NAMED}, found AS (SELECT r.graph, r.root, r.node, coalesce({_class_sql(impact.TERMINALS)}, 'COMPONENT') AS terminal, r.depth, array_to_string(r.path, ' > ') AS path, r.confidence FROM reach r LEFT JOIN named n ON n.id = r.node WHERE r.depth > 0)"
 _IS_TEST = "(upper(artifact_type) IN ('TEST_CASE','TEST_SUITE') OR ((contains(lower(location), '/test') OR starts_with(lower(location), 'test')) AND (starts_with(name, 'test_') OR ends_with(name, 'Test') OR ends_with(name, 'Tests'))))"
 _AFFECTED = _CHANGES + _adjacency_sql(TEST_RULES) + _reach_sql(_ROOTS, 6) + f""",
 hit AS (SELECT c.pair, r.node, n.qualified_name AS test_name, min({{'depth': r.depth, 'path': array_to_string(r.path, '>'), 'rel': r.rel}}) AS b
@@ -91,9 +98,12 @@ add(
 add("flt15_placeholders", lambda t: placeholder_map(t.artifacts, t.external_nodes))
 add(
     "trv01_impact_findings",
-    lambda t: findings(t).select("graph", "root", "node", "depth", "rel", "confidence", F.array_join("path", ">").alias("path"), "classification"),
-    "art edge pair",
-    _IMPACT + "+++ SELECT graph, root, node, depth, rel, confidence, array_to_string(path, '>') AS path, CASE WHEN depth = 1 THEN 'DIRECT' ELSE 'PROVEN_TRANSITIVE' END AS classification FROM reach WHERE depth > 0",
+    lambda t: impact.named_findings(findings(t), node_table(t)).withColumn("path", F.array_join("path", ">")),
+    "art edge node pair",
+    _IMPACT + f""", {_NAMED}, f AS (SELECT r.graph, coalesce(a.name_, r.root) AS root_name, coalesce(b.name_, r.node) AS affected_name, rel, min({{'depth': depth, 'root': root, 'node': node, 'path': path, 'confidence': confidence}}) AS f, bool_and(b.id IS NOT NULL) AS known
+        FROM reach r LEFT JOIN named a ON a.id = r.root LEFT JOIN named b ON b.id = r.node WHERE depth > 0 GROUP BY ALL)
+      +++ SELECT graph, root_name, affected_name, rel, f.depth AS depth, f.root AS root, f.node AS node, array_to_string(f.path, '>') AS path, f.confidence AS confidence, CASE WHEN f.depth = 1 THEN 'DIRECT' ELSE 'PROVEN_TRANSITIVE' END AS classification,
+        CASE WHEN bool_and(known) OVER (PARTITION BY graph) THEN 'COMPLETE' ELSE 'PARTIAL' END AS completeness FROM f""",
 )
 add("trv04_impact_paths", lambda t: impact.impact_paths(findings(t), node_table(t)), "art edge node pair", _PATHS + "+++ SELECT * FROM found")
 
@@ -107,11 +117,11 @@ add(
     "trv05_impact_summary",
     _summary,
     "art edge node pair",
-    _PATHS + """, near AS (SELECT c.pair, f.node, min(f.depth) AS near, max(f.depth) AS far, any_value(f.terminal) AS terminal FROM found f JOIN ch c ON c.graph = f.graph AND c.artifact_id = f.root GROUP BY 1, 2),
-      sums AS (SELECT pair, count(*) FILTER (near = 1) AS direct, count(*) FILTER (far > 1) AS indirect, count(*) AS unique_affected, count(*) FILTER (terminal = 'TEST') AS n_test, count(*) FILTER (terminal = 'API') AS n_api,
-        count(*) FILTER (terminal = 'DATABASE') AS n_database, count(*) FILTER (terminal = 'COMPONENT') AS n_component, max(far) AS max_depth FROM near GROUP BY pair)
-      +++ SELECT c.pair, count(*) AS changed, coalesce(any_value(direct), 0) AS direct, coalesce(any_value(indirect), 0) AS indirect, coalesce(any_value(unique_affected), 0) AS unique_affected, coalesce(any_value(n_test), 0) AS n_test,
-        coalesce(any_value(n_api), 0) AS n_api, coalesce(any_value(n_database), 0) AS n_database, coalesce(any_value(n_component), 0) AS n_component, coalesce(any_value(max_depth), 0) AS max_depth FROM ch c LEFT JOIN sums s ON s.pair = c.pair GROUP BY c.pair""",
+    _IMPACT + f""", {_NAMED}, near AS (SELECT c.pair, r.node, min(r.depth) AS near, max(r.depth) AS far FROM reach r JOIN ch c ON c.graph = r.graph AND c.artifact_id = r.root WHERE r.depth > 0 GROUP BY 1, 2),
+      cls AS (SELECT pair, coalesce(name_, node) AS name_, near, far, CASE WHEN n.id IS NULL THEN 'COMPONENT' ELSE {_class_sql(impact.CLASSES)} END AS class FROM near LEFT JOIN named n ON n.id = node),
+      byname AS (SELECT pair, name_, min(near) AS near, max(far) AS far, {', '.join(f"bool_or(class = '{k}') AS is_{k.lower()}" for k in impact.CLASSES)}, bool_or(class IN ('COMPONENT', 'SERVICE')) AS is_component FROM cls GROUP BY 1, 2),
+      sums AS (SELECT pair, count(*) FILTER (near = 1) AS direct, count(*) FILTER (far > 1) AS indirect, count(*) AS unique_affected, {', '.join(f"count(*) FILTER (is_{k}) AS n_{k}" for k in (*map(str.lower, impact.CLASSES), 'component'))}, max(far) AS max_depth FROM byname GROUP BY pair)
+      +++ SELECT c.pair, count(*) AS changed, {', '.join(f"coalesce(any_value({k}), 0) AS {k}" for k in ('direct', 'indirect', 'unique_affected', *(f'n_{x}' for x in (*map(str.lower, impact.CLASSES), 'component')), 'max_depth'))} FROM ch c LEFT JOIN sums s ON s.pair = c.pair GROUP BY c.pair""",
 )
 
 
@@ -184,21 +194,33 @@ add(
 )
 
 
-def _shortest(t: Tables) -> DataFrame:
+def _causal(t: Tables) -> DataFrame:
     hit = once(t.incidents).select(F.col("snapshot_id").alias("graph"), F.col("affected_component_id").alias("target"))
-    pairs = impact.change_set(t.snapshots, t.artifacts).select("graph", F.col("artifact_id").alias("root")).join(hit.where("target is not null").distinct(), "graph").where("root <> target")
-    found = traversal.shortest_paths(checkpointed(pairs), traversal.undirected(once(t.edges)), 3)
-    return found.select("graph", "root", "target", "hops", F.array_join("path", ">").alias("path"), F.greatest(F.lit(0.5), 0.9 - 0.08 * F.col("hops")).alias("confidence"))
+    pairs = impact.change_set(t.snapshots, t.artifacts).select("graph", F.col("artifact_id").alias("root")).join(hit.where("target is not null").distinct(), "graph")
+    return traversal.causal_paths(checkpointed(pairs), traversal.all_forward(t.edges)).withColumn("path", F.array_join("path", ">"))
+
+
+def _directed_sql(name: str, source: str, target: str) -> str:
+    return f"{name} AS (SELECT DISTINCT snapshot_id AS graph, {source} AS src, {target} AS dst, 'LINK' AS rel, 1.0::DOUBLE AS weight FROM edge WHERE source_artifact_id <> target_artifact_id)"
+
+
+def _renamed(sql: str, prefix: str) -> str:
+    """The level views of a traversal under other names."""
+    import re
+
+    return re.sub(r"\br(\d)\b", rf"{prefix}\1", sql).replace("reach AS", f"{prefix}reach AS")
 
 
 add(
     "trv15_causal_paths",
-    _shortest,
+    _causal,
     "art edge inc pair",
-    _CHANGES + """adj AS (SELECT DISTINCT graph, src, dst, 'LINK' AS rel, 1.0::DOUBLE AS weight FROM (SELECT snapshot_id AS graph, source_artifact_id AS src, target_artifact_id AS dst FROM edge UNION ALL SELECT snapshot_id, target_artifact_id, source_artifact_id FROM edge) WHERE src <> dst),
-      want AS (SELECT DISTINCT c.graph, c.artifact_id AS root, i.affected_component_id AS target FROM ch c JOIN inc i ON i.snapshot_id = c.graph WHERE i.affected_component_id <> c.artifact_id), """
-    + _reach_sql("SELECT graph, root FROM want", 3)
-    + "+++ SELECT w.graph, w.root, w.target, r.depth AS hops, array_to_string(r.path, '>') AS path, greatest(0.5::DOUBLE, 0.9::DOUBLE - 0.08::DOUBLE * r.depth) AS confidence FROM want w JOIN reach r ON r.graph = w.graph AND r.root = w.root AND r.node = w.target",
+    _CHANGES + _directed_sql("fwd", "source_artifact_id", "target_artifact_id") + ", " + _directed_sql("bwd", "target_artifact_id", "source_artifact_id") + """,
+      want AS (SELECT DISTINCT c.graph, c.artifact_id AS root, i.affected_component_id AS target FROM ch c JOIN inc i ON i.snapshot_id = c.graph WHERE i.affected_component_id IS NOT NULL), """
+    + _renamed(_reach_sql("SELECT DISTINCT graph, target AS root FROM want", 4, "bwd"), "u") + ", " + _renamed(_reach_sql("SELECT DISTINCT graph, target AS root FROM want", 4, "fwd"), "d")
+    + """, both_ AS (SELECT graph, root AS target, node AS root, 0 AS way, depth, list_reverse(path) AS path FROM ureach UNION ALL SELECT graph, root, node, 1, depth, path FROM dreach),
+      best AS (SELECT w.graph, w.root, w.target, min({'way': way, 'depth': depth, 'path': path}) AS b FROM want w JOIN both_ x ON x.graph = w.graph AND x.root = w.root AND x.target = w.target GROUP BY ALL)
+      +++ SELECT graph, root, target, b.depth AS hops, array_to_string(b.path, '>') AS path, CASE WHEN b.depth = 0 THEN 0.95::DOUBLE ELSE greatest(0.5::DOUBLE, round(0.9::DOUBLE - 0.08::DOUBLE * b.depth, 2)) END AS confidence FROM best""",
 )
 _CYCLE = "links AS (SELECT DISTINCT snapshot_id AS graph, source_artifact_id AS src, target_artifact_id AS dst FROM edge WHERE upper(relationship_type) IN ('CALLS','IMPORTS','DEPENDS_ON','REFERENCES') AND source_artifact_id <> target_artifact_id)"
 add(
@@ -229,10 +251,10 @@ add("trv19_degrees", lambda t: degrees(t.edges), "edge", _DEGREES + "+++ SELECT
 
 
 def _subgraph(t: Tables) -> DataFrame:
-    """Nodes of the impact graph with their role and level."""
-    changed = changes(t)
-    roles = findings(t, changed).select("graph", "node", F.struct("depth", F.lit("AFFECTED").alias("role")).alias("r")).unionByName(changed.select("graph", F.col("artifact_id").alias("node"), F.struct(F.lit(0).alias("depth"), F.lit("CHANGED").alias("role")).alias("r")))
-    return roles.groupBy("graph", "node").agg(F.min("r").alias("r")).select("graph", "node", "r.depth", "r.role")
+    """Nodes of the impact graph with their role and level; one traversal per graph from all its changed nodes."""
+    starts = changes(t).select("graph", F.col("graph").alias("root"), F.col("artifact_id").alias("node"))
+    found = traversal.reach(starts, adjacency(t.edges, placeholders=placeholder_map(t.artifacts, t.external_nodes)), 5)
+    return found.select("graph", "node", "depth", F.when(F.col("depth") == 0, "CHANGED").otherwise("AFFECTED").alias("role"))
 
 
 add("trv20_impact_subgraph", _subgraph, "art edge pair", _IMPACT + "+++ SELECT graph, node, min(depth)::INT AS depth, CASE WHEN min(depth) = 0 THEN 'CHANGED' ELSE 'AFFECTED' END AS role FROM reach GROUP BY ALL")

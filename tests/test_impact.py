@@ -38,6 +38,9 @@ def test_removed_symbols_use_the_old_graph(frame):
     assert tuples(found, "root", "node", "depth", "classification") == [("b2", "a2", 1, "DIRECT"), ("b2", "t2", 2, "PROVEN_TRANSITIVE"), ("g1", "d1", 1, "DIRECT")]
     paths = tuples(impact.impact_paths(found, nodes(arts, ext)), "node", "terminal", "path")
     assert ("t2", "TEST", "b2 > a2 > t2") in paths
+    named = tuples(impact.named_findings(found, nodes(arts, ext)), "root_name", "affected_name", "depth", "completeness")
+    assert named[0] == ("m.b", "m.a", 1, "COMPLETE") and len(named) == 3
+    assert ("b2", "a2") not in tuples(impact.impact_findings(changed, edges, left_out=frame("node string", ("a2",))), "root", "node")
     summary = impact.impact_summary(changed, found, nodes(arts, ext)).first()
     assert (summary.changed, summary.direct, summary.indirect, summary.unique_affected, summary.n_test) == (6, 2, 1, 3, 1)
 

@@ -4,7 +4,7 @@ from collections import deque
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import adjacency, degrees, placeholder_map
-from graphloom.operators.traversal import components, cycles, forward_of, reach, shortest_paths, undirected
+from graphloom.operators.traversal import all_forward, causal_paths, components, cycles, forward_of, reach, undirected
 from tests.conftest import tuples
 
 EDGES = "id string, snapshot_id string, source_artifact_id string, target_artifact_id string, relationship_type string, confidence double"
@@ -103,13 +103,22 @@ def test_components_equal_mutual_reach(frame):
     assert tuples(components(forward_of(edges(frame), ["CALLS"]))) == []
 
 
-def test_shortest_and_degrees(frame):
+def test_causal_paths_and_degrees(frame):
+    rows = edges(frame, ("A", "B", "CALLS"), ("B", "C", "USES"), ("C", "D", "CALLS"), ("D", "E", "CALLS"), ("E", "F", "CALLS"), ("A", "B", "IMPORTS"))
+    pairs = frame("graph string, root string, target string", ("s", "A", "D"), ("s", "D", "B"), ("s", "A", "Z"), ("s", "A", "A"), ("s", "A", "F"), ("s", None, "A"), ("x", "A", "B"))
+    found = causal_paths(pairs, all_forward(rows))
+    assert tuples(found.select("root", "target", "hops", F.array_join("path", ""), "confidence")) == [("A", "A", 0, "A", 0.95), ("A", "D", 3, "ABCD", 0.66), ("D", "B", 2, "BCD", 0.74)]
     rows = edges(frame, ("A", "B", "CALLS"), ("C", "B", "USES"), ("C", "D", "CALLS"), ("A", "B", "IMPORTS"))
-    pairs = frame("graph string, root string, target string", ("s", "A", "D"), ("s", "A", "Z"), ("s", "A", "A"))
-    assert tuples(shortest_paths(pairs, undirected(rows), 3).select("target", "hops", F.array_join("path", ""))) == [("A", 0, "A"), ("D", 3, "ABCD")]
     assert tuples(degrees(rows)) == [("s", "A", 0, 1, 0, 2), ("s", "B", 2, 0, 3, 0), ("s", "C", 0, 2, 0, 2), ("s", "D", 1, 0, 1, 0)]
 
 
+def test_confidence_is_rounded_at_every_hop_and_many_starts_make_one_traversal(frame):
+    links = frame("graph string, src string, dst string, rel string, weight double", ("s", "A", "B", "CALLS", 0.33333), ("s", "B", "C", "CALLS", 0.33333), ("s", "D", "C", "CALLS", 1.0))
+    assert tuples(reach(frame("graph string, root string", ("s", "A")), links, 3), "node", "confidence") == [("A", 1.0), ("B", 0.3333), ("C", 0.1111)]
+    many = frame("graph string, root string, node string", ("s", "p", "A"), ("s", "p", "D"))
+    assert tuples(reach(many, links, 3).select("root", "node", "depth", F.array_join("path", ""))) == [("p", "A", 0, "A"), ("p", "B", 1, "AB"), ("p", "C", 1, "DC"), ("p", "D", 0, "D")]
+
+
 def test_placeholders(frame):
     node = "id string, artifact_type string, language string, name string, qualified_name string, location string, snapshot_id string"
     art = [("a1", "MODULE", "ts", "button", "src.ui.button", "src/ui/button.tsx:1", "s"), ("a2", "CLASS", "py", "Order", "shop.Order", "shop/order.py:3", "s"), ("a3", "CLASS", "py", "Twice", "x.Twice", "x/x.py:1", "s"), ("a4", "CLASS", "py", "Twice", "y.Twice", "y/y.py:1", "s")]
