@@ -103,12 +103,45 @@ def guardrails(artifacts: DataFrame, edges: DataFrame, node_table: DataFrame, ba
 
 
 def architecture_factors(rails: DataFrame) -> DataFrame:
-    """RSK-04: per snapshot 80 with a violation, 40 with a warning only."""
-    return rails.groupBy("snapshot_id").agg(F.max(F.when(F.col("status") == "VIOLATION", 80.0).otherwise(40.0)).alias("factor"))
+    """RSK-04: per snapshot 100 with a critical violation, 80 with another one, 40 with a warning only. Rails may name a ``severity``."""
+    critical = F.upper("severity") == "CRITICAL" if "severity" in rails.columns else F.lit(False)
+    return rails.groupBy("snapshot_id").agg(F.max(F.when((F.col("status") == "VIOLATION") & F.coalesce(critical, F.lit(False)), 100.0).when(F.col("status") == "VIOLATION", 80.0).otherwise(40.0)).alias("factor"))
 
 
 #: Weights of the factors of a change.
-WEIGHTS = {"IMPACT_BREADTH": 1.1, "IMPACT_DEPTH": 0.8, "TEST_IMPACT": 1.2}
+WEIGHTS = {"IMPACT_BREADTH": 1.1, "IMPACT_DEPTH": 0.8, "TEST_IMPACT": 1.2, "ARCHITECTURE": 1.5, "COUPLING": 1.0, "RUNTIME": 1.0, "INCIDENTS": 1.0, "API_SURFACE": 1.2, "UNKNOWN_EVIDENCE": 0.6}
+
+
+def evidence_factors(relevant: DataFrame, events: DataFrame, incidents: DataFrame, latest_events: int = 50, latest_incidents: int = 20, judged: int = 4) -> DataFrame:
+    """RSK-06, RSK-07: ``pair, factor, score, applies`` from what happened to the changed and affected nodes (``pair, node``) of a pair.
+
+    The latest ``latest_events`` distinct events by arrival: an error 90, one in production 70, any 40, none 0. The latest ``latest_incidents`` incidents by the time of
+    their record: a critical one among the first ``judged`` 90, others 60, none does not apply. Ties go by id. The limits are what a report looks at.
+    """
+    first = events.where("event_id is not null").groupBy("event_id").agg(F.min(F.struct("ingested_at", "component_artifact_id", "severity", "environment")).alias("e"))
+    ran = first.select(F.col("e.component_artifact_id").alias("node"), F.col("event_id").alias("id"), F.col("e.ingested_at").alias("at"), F.upper("e.severity").alias("severity"), "e.environment")
+    hit = once(incidents).select(F.col("affected_component_id").alias("node"), "id", F.col("created_at").alias("at"), F.upper("severity").alias("severity"))
+    newest = lambda rows, most: relevant.join(rows, "node").withColumn("n", F.row_number().over(W.partitionBy("pair").orderBy(F.desc_nulls_last("at"), "id"))).where(F.col("n") <= most)
+    runtime = newest(ran, latest_events).groupBy("pair").agg(F.max(F.when(F.col("severity").isin("ERROR", "CRITICAL"), 90.0).when(F.col("environment") == "production", 70.0).otherwise(40.0)).alias("runtime"))
+    found = newest(hit, latest_incidents).groupBy("pair").agg(F.max(F.when((F.col("severity") == "CRITICAL") & (F.col("n") <= judged), 90.0).otherwise(60.0)).alias("incidents"))
+    rows = relevant.select("pair").distinct().join(runtime, "pair", "left").join(found, "pair", "left")
+    entries = F.array(F.struct(F.lit("RUNTIME").alias("factor"), F.coalesce("runtime", F.lit(0.0)).alias("score"), F.lit(True).alias("applies")), F.struct(F.lit("INCIDENTS").alias("factor"), F.coalesce("incidents", F.lit(0.0)).alias("score"), F.col("incidents").isNotNull().alias("applies")))
+    return rows.select("pair", F.explode(entries).alias("f")).select("pair", "f.*")
+
+
+def all_factors(factors: DataFrame, rails: DataFrame, coupling: DataFrame, interface: DataFrame, unknown: DataFrame, evidence: DataFrame) -> DataFrame:
+    """RSK-10: the nine factors of each pair that has ``factors``: those, and the ones given per snapshot or pair."""
+    pairs = factors.select("pair").distinct()
+    one = lambda rows, name, otherwise: pairs.join(rows, "pair", "left").select("pair", F.lit(name).alias("factor"), F.coalesce(F.col("factor").cast("double"), F.lit(otherwise)).alias("score"), F.lit(True).alias("applies"))
+    parts = [
+        factors.select("pair", "factor", F.col("score").cast("double").alias("score"), "applies"),
+        one(architecture_factors(rails).withColumnRenamed("snapshot_id", "pair"), "ARCHITECTURE", 0.0),
+        one(coupling.select("pair", "factor"), "COUPLING", 0.0),
+        one(interface.select("pair", "factor"), "API_SURFACE", 0.0),
+        one(unknown.select("pair", "factor"), "UNKNOWN_EVIDENCE", 0.0),
+        evidence.join(pairs, "pair", "left_semi").select("pair", "factor", "score", "applies"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def risk_factors(summary: DataFrame, selection: DataFrame) -> DataFrame:
@@ -127,10 +160,18 @@ def risk_factors(summary: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def combined_risk(factors: DataFrame) -> DataFrame:
-    """RSK-10: per pair the weighted mean of the factors that apply, and its category."""
-    weight = _named(F.col("factor"), {k: str(v) for k, v in WEIGHTS.items()}).cast("double")
-    sums = factors.where("applies").groupBy("pair").agg(F.round(F.sum(F.col("score") * weight) / F.sum(weight), 6).alias("score"), F.max(F.when(F.col("factor") == "IMPACT_BREADTH", F.col("score"))).alias("breadth"))
-    category = F.when(F.col("score") >= 75, "CRITICAL").when((F.col("score") >= 50) | (F.col("breadth") >= 75), "HIGH").when((F.col("score") >= 25) | (F.col("breadth") >= 40), "MODERATE").otherwise("LOW")
+    """RSK-10: per pair the weighted mean of the factors that apply, and its category; an unknown factor is an error.
+
+    CRITICAL from 75, with a critical guardrail (an architecture score of 100), or where a broad change (breadth from 70) of live parts (runtime from 70) violates a guardrail (architecture
+    from 80); HIGH from 50, with any violation, broad and live, or breadth from 75; MODERATE from 25 or breadth from 40.
+    """
+    known = _named(F.col("factor"), {k: str(v) for k, v in WEIGHTS.items()}).cast("double")
+    weight = F.coalesce(known, F.raise_error(F.concat(F.lit("no weight for factor "), F.col("factor"))).cast("double"))
+    of = lambda name: F.coalesce(F.max(F.when(F.col("factor") == name, F.col("score"))), F.lit(0.0))
+    sums = factors.where("applies").groupBy("pair").agg(F.round(F.sum(F.col("score") * weight) / F.sum(weight), 6).alias("score"), of("IMPACT_BREADTH").alias("breadth"), of("RUNTIME").alias("runtime"), of("ARCHITECTURE").alias("architecture"))
+    broad = (F.col("breadth") >= 70) & (F.col("runtime") >= 70)
+    violated = F.col("architecture") >= 80
+    category = F.when((F.col("architecture") >= 100) | (F.col("score") >= 75) | broad & violated, "CRITICAL").when(violated | (F.col("score") >= 50) | broad | (F.col("breadth") >= 75), "HIGH").when((F.col("score") >= 25) | (F.col("breadth") >= 40), "MODERATE").otherwise("LOW")
     return sums.select("pair", "score", category.alias("category"))
 
 

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.operators import analysis, composites
+from graphloom.operators import analysis, composites, impact, review
 from graphloom.operators.graph import adjacency, once, placeholder_map
 from graphloom.operators.snapshot_changes import snapshot_pairs
-from graphloom.plans.catalog import Catalog
+from graphloom.plans.catalog import Catalog, with_views
 from graphloom.plans.conformance_queries import SQL as CONFORMANCE_SQL
 from graphloom.plans.conformance_queries import _USES, _drift
 from graphloom.plans.impact_queries import SQL as IMPACT_SQL
 from graphloom.plans.impact_queries import _AFFECTED, _CHANGES, _IMPACT, _IS_TEST, _ROOTS, _affected, _reach_sql, _selection, _summary, changes, node_table
+from graphloom.plans.review_queries import SQL as REVIEW_SQL
 from graphloom.plans.sample_baseline import sample_baseline
+from graphloom.session import checkpointed
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -36,8 +38,7 @@ def _rails(t):
 
 
 _RAILS = f"""drifted AS (SELECT snapshot_id, count(*) AS n FROM ({CONFORMANCE_SQL['arc01_drift']}) GROUP BY 1), debt AS ({CONFORMANCE_SQL['arc07_test_debt']}),
-links AS (SELECT DISTINCT snapshot_id AS graph, source_artifact_id AS src, target_artifact_id AS dst FROM edge WHERE upper(relationship_type) IN ('CALLS','IMPORTS','DEPENDS_ON','REFERENCES') AND source_artifact_id <> target_artifact_id),
-loops AS (SELECT a.graph FROM links a JOIN links b ON b.graph = a.graph AND b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT a.graph FROM links a JOIN links b ON b.graph = a.graph AND b.src = a.dst JOIN links c ON c.graph = a.graph AND c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst),
+loops AS (SELECT graph FROM ({IMPACT_SQL['trv16_components']}) WHERE node = component),
 fan AS (SELECT snapshot_id FROM (SELECT snapshot_id, source_artifact_id AS id FROM edge GROUP BY ALL HAVING count(DISTINCT target_artifact_id) >= 8) WHERE id IN (SELECT id FROM artifacts)),
 rails AS (SELECT snapshot_id, 'LAYERS' AS guardrail, 'VIOLATION' AS status, n FROM drifted UNION ALL SELECT graph, 'CYCLES', 'VIOLATION', count(*) FROM loops GROUP BY 1 UNION ALL SELECT snapshot_id, 'COUPLING', 'WARN', count(*) FROM fan GROUP BY 1 UNION ALL SELECT snapshot_id, 'TEST_DEBT', verdict, untested FROM debt WHERE verdict <> 'PASS')"""
 add("arc03_guardrails", _rails, "edge", _RAILS + "+++ SELECT * FROM rails")
@@ -79,6 +80,34 @@ def _factors(t):
 
 
 add("rsk01_factors", _factors, "", f"WITH {_FACTORS} SELECT * FROM fac")
-add("rsk10_pair_risk", lambda t: analysis.combined_risk(_factors(t)), "", f"WITH {_FACTORS}, w AS (SELECT *, CASE factor WHEN 'IMPACT_BREADTH' THEN 1.1 WHEN 'IMPACT_DEPTH' THEN 0.8 ELSE 1.2 END::DOUBLE AS weight FROM fac WHERE applies), g AS (SELECT pair, round(sum(score * weight) / sum(weight), 6) AS score, max(score) FILTER (factor = 'IMPACT_BREADTH') AS breadth FROM w GROUP BY 1) SELECT pair, score, CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 50 OR breadth >= 75 THEN 'HIGH' WHEN score >= 25 OR breadth >= 40 THEN 'MODERATE' ELSE 'LOW' END AS category FROM g")
+
+
+def _all_factors(t):
+    changed = changes(t)
+    selection = checkpointed(_selection(t))
+    relevant = impact.reached_per_pair(changed, adjacency(t.edges, placeholders=placeholder_map(t.artifacts, t.external_nodes)), 5).select(F.col("root").alias("pair"), "node").distinct()
+    unknown = analysis.unknown_evidence(composites.confidence(snapshot_pairs(t.snapshots), selection, t.runtime_events), selection)
+    return analysis.all_factors(checkpointed(analysis.risk_factors(_summary(t), selection)), _rails(t), review.coupling_factors(changed, t.edges), review.interface_factors(changed, t.edges), unknown, analysis.evidence_factors(checkpointed(relevant), t.runtime_events, t.incidents))
+
+
+_RELEVANT = with_views("art edge pair", _IMPACT + "+++ SELECT DISTINCT c.pair, r.node FROM reach r JOIN ch c ON c.graph = r.graph AND c.artifact_id = r.root")
+_NINE = f"""WITH {_FACTORS}, rel AS ({_RELEVANT}),
+run_ AS (SELECT pair, max(CASE WHEN severity IN ('ERROR', 'CRITICAL') THEN 90 WHEN environment = 'production' THEN 70 ELSE 40 END)::DOUBLE AS score FROM (SELECT rel.pair, upper(severity) AS severity, environment FROM rel JOIN (SELECT * FROM runtime_events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ingested_at) = 1) e ON e.component_artifact_id = rel.node
+  QUALIFY row_number() OVER (PARTITION BY rel.pair ORDER BY ingested_at DESC NULLS LAST, event_id) <= 50) GROUP BY 1),
+inc_ AS (SELECT pair, max(CASE WHEN severity = 'CRITICAL' AND n <= 4 THEN 90 ELSE 60 END)::DOUBLE AS score FROM (SELECT rel.pair, upper(severity) AS severity, row_number() OVER (PARTITION BY rel.pair ORDER BY created_at DESC NULLS LAST, i.id) AS n FROM rel JOIN (SELECT DISTINCT ON (id) * FROM incidents) i ON i.affected_component_id = rel.node) WHERE n <= 20 GROUP BY 1),
+p AS (SELECT DISTINCT pair FROM fac),
+nine AS (SELECT pair, factor, score, applies FROM fac UNION ALL SELECT p.pair, 'ARCHITECTURE', coalesce(factor, 0)::DOUBLE, true FROM p LEFT JOIN ({CATALOG.sql['rsk04_architecture']}) r ON r.snapshot_id = p.pair
+  UNION ALL SELECT p.pair, 'COUPLING', coalesce(factor, 0)::DOUBLE, true FROM p LEFT JOIN ({REVIEW_SQL['rsk05_coupling']}) r ON r.pair = p.pair UNION ALL SELECT p.pair, 'API_SURFACE', coalesce(factor, 0)::DOUBLE, true FROM p LEFT JOIN ({REVIEW_SQL['rsk08_interface']}) r ON r.pair = p.pair
+  UNION ALL SELECT p.pair, 'UNKNOWN_EVIDENCE', coalesce(factor, 0)::DOUBLE, true FROM p LEFT JOIN ({CATALOG.sql['rsk09_unknown_evidence']}) r ON r.pair = p.pair
+  UNION ALL SELECT p.pair, 'RUNTIME', coalesce(score, 0)::DOUBLE, true FROM p LEFT JOIN run_ ON run_.pair = p.pair UNION ALL SELECT p.pair, 'INCIDENTS', coalesce(score, 0)::DOUBLE, score IS NOT NULL FROM p LEFT JOIN inc_ ON inc_.pair = p.pair)"""
+add("rsk10_all_factors", _all_factors, "", _NINE + " SELECT * FROM nine")
+add(
+    "rsk10_pair_risk",
+    lambda t: analysis.combined_risk(_all_factors(t)),
+    "",
+    _NINE + f""", w AS (SELECT *, CASE factor {' '.join(f"WHEN '{k}' THEN {v}" for k, v in analysis.WEIGHTS.items())} END::DOUBLE AS weight FROM nine WHERE applies),
+      g AS (SELECT pair, round(sum(score * weight) / sum(weight), 6) AS score, coalesce(max(score) FILTER (factor = 'IMPACT_BREADTH'), 0) AS b, coalesce(max(score) FILTER (factor = 'RUNTIME'), 0) AS r, coalesce(max(score) FILTER (factor = 'ARCHITECTURE'), 0) AS a FROM w GROUP BY 1)
+      SELECT pair, score, CASE WHEN a >= 100 OR score >= 75 OR b >= 70 AND r >= 70 AND a >= 80 THEN 'CRITICAL' WHEN a >= 80 OR score >= 50 OR b >= 70 AND r >= 70 OR b >= 75 THEN 'HIGH' WHEN score >= 25 OR b >= 40 THEN 'MODERATE' ELSE 'LOW' END AS category FROM g""",
+)
 add("rsk13_buckets", lambda t: analysis.factor_buckets(_factors(t)), "", f"WITH {_FACTORS} SELECT pair, CASE factor WHEN 'TEST_IMPACT' THEN 'tests' ELSE 'structure' END AS bucket, sum(score) AS score FROM fac GROUP BY ALL")
 QUERIES, SQL = CATALOG.queries, CATALOG.sql
