@@ -1,4 +1,6 @@
-from datetime import datetime
+from datetime import datetime, timedelta
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -81,3 +83,28 @@ def test_small_parts(frame):
     assert report.splitlines()[0] == "# Impact of p" and report.endswith("deepest path: 6")
     rows = frame("snapshot_id string, repository_id string", ("s", "r"), ("t", "q"), (None, None))
     assert analysis.snapshot_rows(rows, "s").count() == analysis.scoped(rows, ["q"]).count() == 1
+
+
+def test_nine_factors(frame):
+    day = datetime(2026, 1, 1)
+    relevant = frame("pair string, node string", ("p", "a"), ("p", "b"), ("q", "a"), ("r", "z"))
+    event = "event_id string, component_artifact_id string, severity string, environment string, ingested_at timestamp"
+    rows = [(f"e{i}", "a", "INFO", "staging", day + timedelta(hours=i)) for i in range(60)] + [("old", "a", "ERROR", "staging", day - timedelta(days=1)), ("x", "b", "info", "production", day + timedelta(days=9)), ("x", "b", "ERROR", "production", day + timedelta(days=10))]
+    incident = "id string, affected_component_id string, severity string, created_at timestamp"
+    hits = [(f"i{i}", "b", "critical" if i == 0 else "LOW", day + timedelta(days=i)) for i in range(6)] + [("k", "a", "Critical", day)]
+    found = analysis.evidence_factors(relevant, frame(event, *rows), frame(incident, *hits))
+    assert tuples(found) == sorted([("p", "RUNTIME", 70.0, True), ("p", "INCIDENTS", 60.0, True), ("q", "RUNTIME", 40.0, True), ("q", "INCIDENTS", 90.0, True), ("r", "RUNTIME", 0.0, True), ("r", "INCIDENTS", 0.0, False)], key=repr)
+    base = frame("pair string, factor string, score double, applies boolean", ("p", "IMPACT_BREADTH", 75.0, True), ("p", "IMPACT_DEPTH", 0.0, False), ("p", "TEST_IMPACT", 45.0, True), ("q", "IMPACT_BREADTH", 20.0, True))
+    rails = frame("snapshot_id string, guardrail string, status string, severity string", ("p", "LAYERS", "VIOLATION", "HIGH"), ("q", "LAYERS", "VIOLATION", "CRITICAL"), ("s", "COUPLING", "WARN", None))
+    assert tuples(analysis.architecture_factors(rails)) == [("p", 80.0), ("q", 100.0), ("s", 40.0)]
+    none = frame("pair string, factor double")
+    every = analysis.all_factors(base, rails, none, none, none, found)
+    assert {f for _, f in tuples(every, "pair", "factor")} == set(analysis.WEIGHTS) and every.where("pair = 'r'").count() == 0
+    weights = analysis.WEIGHTS
+    scores = {f: s for f, s in tuples(every.where("pair = 'p' and applies"), "factor", "score")}
+    mean = sum(s * weights[f] for f, s in scores.items()) / sum(weights[f] for f in scores)
+    risk = {p: (s, c) for p, s, c in tuples(analysis.combined_risk(every))}
+    assert abs(risk["p"][0] - mean) < 1e-6 and risk["p"][1] == "CRITICAL"  # broad, live and against a guardrail
+    assert risk["q"][1] == "CRITICAL"
+    with pytest.raises(Exception, match="no weight for factor"):
+        analysis.combined_risk(frame("pair string, factor string, score double, applies boolean", ("p", "SURPRISE", 1.0, True))).collect()
