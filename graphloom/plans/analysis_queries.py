@@ -37,7 +37,7 @@ def _rails(t):
     return analysis.guardrails(t.artifacts, t.edges, node_table(t), sample_baseline(t._spark))
 
 
-_RAILS = f"""drifted AS (SELECT snapshot_id, count(*) AS n FROM ({CONFORMANCE_SQL['arc01_drift']}) GROUP BY 1), debt AS ({CONFORMANCE_SQL['arc07_test_debt']}),
+_RAILS = f"""drifted AS (SELECT snapshot_id, count(*) AS n FROM ({CONFORMANCE_SQL['arc01_drift']}) WHERE category <> 'CIRCULAR_DEPENDENCY' GROUP BY 1), debt AS ({CONFORMANCE_SQL['arc07_test_debt']}),
 loops AS (SELECT graph FROM ({IMPACT_SQL['trv16_components']}) WHERE node = component),
 fan AS (SELECT snapshot_id FROM (SELECT snapshot_id, source_artifact_id AS id FROM edge GROUP BY ALL HAVING count(DISTINCT target_artifact_id) >= 8) WHERE id IN (SELECT id FROM artifacts)),
 rails AS (SELECT snapshot_id, 'LAYERS' AS guardrail, 'VIOLATION' AS status, n FROM drifted UNION ALL SELECT graph, 'CYCLES', 'VIOLATION', count(*) FROM loops GROUP BY 1 UNION ALL SELECT snapshot_id, 'COUPLING', 'WARN', count(*) FROM fan GROUP BY 1 UNION ALL SELECT snapshot_id, 'TEST_DEBT', verdict, untested FROM debt WHERE verdict <> 'PASS')"""

@@ -25,10 +25,18 @@ def _values(rows, columns):
 _MODULES = _values([(m, n) for n, v in ROLES["layers"].items() for m in v["modules"]], "prefix, layer")
 _POLICY = _values([(n, o, "HIGH" if o in v["forbidden"] else "MEDIUM") for n, v in ROLES["layers"].items() for o in ROLES["layers"] if o in v["forbidden"] or v["allowed"] and o != n and o not in v["allowed"]], "a, b, severity")
 _IMPORTS = _values([(n, p) for n, ps in ROLES["forbidden_imports"].items() for p in ps], "layer, prefix")
+_LINKS = ", ".join(f"'{k}'" for k in conformance.LINKS)
+#: Every simple cycle, each once from its smallest id on: paths within cyclic components that pass larger ids only.
+_CYCLES = f"""(WITH RECURSIVE l AS (SELECT DISTINCT snapshot_id AS graph, source_artifact_id AS src, target_artifact_id AS dst FROM edges WHERE upper(relationship_type) IN ({_LINKS}) AND source_artifact_id <> target_artifact_id),
+  ahead AS (SELECT graph, src, dst FROM l UNION SELECT a.graph, a.src, l.dst FROM ahead a JOIN l ON l.graph = a.graph AND l.src = a.dst),
+  ring AS (SELECT l.* FROM l JOIN ahead a ON a.graph = l.graph AND a.src = l.dst AND a.dst = l.src),
+  p AS (SELECT graph, src AS head, dst AS tail, [src, dst] AS path FROM ring WHERE dst > src UNION ALL SELECT p.graph, head, r.dst, list_append(path, r.dst) FROM p JOIN ring r ON r.graph = p.graph AND r.src = p.tail WHERE r.dst > head AND NOT list_contains(path, r.dst))
+  SELECT p.graph, p.path[1] AS a, p.path[2] AS b FROM p JOIN ring r ON r.graph = p.graph AND r.src = p.tail AND r.dst = p.head)"""
 _USES = f"""lay AS (SELECT n.id, trim(n.qualified_name) AS q, (SELECT v.layer FROM {_MODULES} WHERE regexp_replace(replace(trim(n.qualified_name), '/', '.'), '^(backend\\.|src\\.|services\\.)', '') = v.prefix OR starts_with(regexp_replace(replace(trim(n.qualified_name), '/', '.'), '^(backend\\.|src\\.|services\\.)', ''), v.prefix || '.') ORDER BY length(v.prefix) DESC LIMIT 1) AS layer FROM node n),
 uses AS (SELECT e.snapshot_id, s.q AS source_name, d.q AS target_name, s.layer AS a, d.layer AS b FROM edge e JOIN lay s ON s.id = e.source_artifact_id JOIN lay d ON d.id = e.target_artifact_id WHERE upper(relationship_type) IN ('IMPORTS', 'CALLS', 'DEPENDS_ON')),
-drift AS (SELECT DISTINCT snapshot_id, 'LAYER_BOUNDARY' AS category, v.severity, source_name, target_name FROM uses u JOIN {_POLICY} ON v.a = u.a AND v.b = u.b
-  UNION SELECT DISTINCT snapshot_id, 'FORBIDDEN_IMPORT', 'HIGH', source_name, target_name FROM uses u JOIN {_IMPORTS} ON v.layer = u.a AND (u.target_name = v.prefix OR starts_with(u.target_name, v.prefix || '.')))"""
+drift AS (SELECT * FROM (SELECT DISTINCT snapshot_id, 'LAYER_BOUNDARY' AS category, v.severity, source_name, target_name FROM uses u JOIN {_POLICY} ON v.a = u.a AND v.b = u.b
+  UNION SELECT DISTINCT snapshot_id, 'FORBIDDEN_IMPORT', 'HIGH', source_name, target_name FROM uses u JOIN {_IMPORTS} ON v.layer = u.a AND (u.target_name = v.prefix OR starts_with(u.target_name, v.prefix || '.')))
+  UNION ALL SELECT c.graph, 'CIRCULAR_DEPENDENCY', 'CRITICAL', s.q, d.q FROM {_CYCLES} c JOIN lay s ON s.id = c.a JOIN lay d ON d.id = c.b)"""
 
 add("arc01_drift", _drift, "edge node", _USES + "+++ SELECT * FROM drift")
 add("agg21_conformance", lambda t: conformance.conformance(t.edges, node_table(t), _drift(t), sample_baseline(t._spark)), "edge node", _USES + """, n AS (SELECT snapshot_id, count(*) AS uses FROM edge WHERE upper(relationship_type) IN ('IMPORTS', 'CALLS', 'DEPENDS_ON') AND source_artifact_id IN (SELECT id FROM node) GROUP BY 1), b AS (SELECT snapshot_id, count(*) AS violations FROM drift GROUP BY 1)

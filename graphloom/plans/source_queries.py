@@ -17,8 +17,8 @@ _EXT = "(VALUES " + ", ".join(f"('{e}', '{n}')" for e, n in EXTENSIONS.items())
 
 
 def _code(t):
-    """Fenced code of documents as files, one each (``<doc_id>/block.py``)."""
-    blocks = F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)```\w*\r?\n(def .*?)```"), 1))
+    """Fenced Python of documents as files, one each (``<doc_id>/block.py``): blocks that begin with a definition, a decorator or an import."""
+    blocks = F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)```\w*\s*\r?\n(\s*(?:@\w|(?:async )?def |class |import |from \w).*?)```"), 1))
     rows = t.documents.where("text is not null").select("doc_id", blocks.alias("k", "text"))
     return rows.select(F.concat_ws("/", F.lit("docs"), F.col("doc_id").cast("string"), F.concat(F.lit("block"), F.col("k").cast("string"), F.lit(".py"))).alias("path"), F.lit("python").alias("language"), "text")
 
