@@ -11,11 +11,14 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.session import checkpointed
 
+#: Links up to which components are searched graph by graph instead of level by level.
+LOCAL_LINKS = 500_000
 REACHED = ["graph", "root", "node", "depth", "path", "rel", "confidence"]
 
 
@@ -108,14 +111,63 @@ def _trimmed(links: DataFrame) -> DataFrame:
     return links.distinct()
 
 
-def components(adjacency: DataFrame) -> DataFrame:
+def _strong(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Strongly connected components of two nodes or more of one graph, by depth-first search with an explicit stack."""
+    ahead: dict[str, list[str]] = {}
+    for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+        ahead.setdefault(a, []).append(b)
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_nodes: list[str] = []
+    is_open: set[str] = set()
+    rows = []
+    for start in ahead:
+        if start in number:
+            continue
+        number[start] = low[start] = len(number)
+        open_nodes.append(start)
+        is_open.add(start)
+        work = [(start, iter(ahead[start]))]
+        while work:
+            node, rest = work[-1]
+            for other in rest:
+                if other not in number:
+                    number[other] = low[other] = len(number)
+                    open_nodes.append(other)
+                    is_open.add(other)
+                    work.append((other, iter(ahead.get(other, ()))))
+                    break
+                if other in is_open:
+                    low[node] = min(low[node], number[other])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    members = []
+                    while True:
+                        members.append(open_nodes.pop())
+                        is_open.discard(members[-1])
+                        if members[-1] == node:
+                            break
+                    if len(members) > 1:
+                        rows += [(pdf["graph"].iloc[0], min(members), m, len(members)) for m in members]
+    return pd.DataFrame(rows, columns=["graph", "component", "node", "size"])
+
+
+def components(adjacency: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     """TRV-16: ``graph, component, node, size`` of the nodes on directed cycles of any length; a component has the name of its smallest node.
 
-    Exact: components are strongly connected and have 2 nodes or more. After links on no cycle are trimmed, every node takes the
+    Exact: components are strongly connected and have 2 nodes or more. If all graphs together have at most ``local_links`` links (counted first, so no graph has more), each graph
+    is searched in one place. Otherwise, with the same result: after links on no cycle are trimmed, every node takes the
     smallest node that reaches it, level by level; the nodes that lead back to this name within it are one component. They leave, and
     the rest is done again until no link is left. Each step is one checkpointed join; steps grow with the longest path, not with the number of cycles.
     """
     links = adjacency.select("graph", "src", "dst").where("graph is not null and src <> dst")
+    if local_links:
+        links = checkpointed(links.distinct())
+        if links.limit(local_links + 1).count() <= local_links:
+            return links.groupBy("graph").applyInPandas(_strong, "graph string, component string, node string, size bigint")
     empty = links.select("graph", F.col("src").alias("component"), F.col("src").alias("node"), F.lit(0).cast("bigint").alias("size")).limit(0)
     out = [empty]
     while not (links := checkpointed(_trimmed(links))).isEmpty():

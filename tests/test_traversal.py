@@ -99,6 +99,7 @@ def test_components_equal_mutual_reach(frame):
         if len(same) > 1:
             expected.append((n[0], min(same)[1], n[1], len(same)))
     assert tuples(components(forward_of(rows, ["CALLS"]))) == sorted(expected, key=repr)
+    assert tuples(components(forward_of(rows, ["CALLS"]), local_links=0)) == sorted(expected, key=repr)
     assert {size for g, _, _, size in expected if g == "s"} == {2, 11}
     assert tuples(components(forward_of(edges(frame), ["CALLS"]))) == []
 
