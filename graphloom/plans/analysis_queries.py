@@ -30,7 +30,7 @@ add(
     "p AS (SELECT id AS target_id, lag(id) OVER (PARTITION BY repository_id ORDER BY created_at, id) AS base_id FROM snap) +++ SELECT base_id, target_id, CASE WHEN b.repository_id <> a.repository_id THEN 'DIFFERENT_REPOSITORY' WHEN b.snapshot_metadata['status'] <> 'READY' OR a.snapshot_metadata['status'] <> 'READY' THEN 'NOT_READY' WHEN a.commit_hash = b.commit_hash THEN 'SAME_COMMIT' ELSE 'OK' END AS verdict FROM p JOIN snap b ON b.id = p.base_id JOIN snap a ON a.id = p.target_id",
 )
 _CALLS = "adj AS (SELECT DISTINCT snapshot_id AS graph, target_artifact_id AS src, source_artifact_id AS dst, 'CALLS' AS rel, 1.0::DOUBLE AS weight FROM edge WHERE upper(relationship_type) = 'CALLS' AND source_artifact_id <> target_artifact_id), "
-add("trv09_caller_scores", lambda t: analysis.caller_scores(changes(t).select("graph", F.col("artifact_id").alias("root")), t.edges, node_table(t)), "art edge node pair", _CHANGES + _CALLS + _reach_sql(_ROOTS, 8) + ", s AS (SELECT graph, root, count(*) AS callers, count(*) FILTER (n.artifact_type = 'API_ENDPOINT') AS endpoints FROM reach r JOIN node n ON n.id = r.node WHERE depth > 0 GROUP BY ALL), c AS (SELECT *, least(10 * callers, 60) + 15 * endpoints AS score FROM s) +++ SELECT *, CASE WHEN score > 75 THEN 'CRITICAL' WHEN score > 50 THEN 'HIGH' WHEN score > 25 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM c")
+add("trv09_caller_scores", lambda t: analysis.caller_scores(changes(t).select("graph", F.col("artifact_id").alias("root")), t.edges, node_table(t)), "art edge node pair", _CHANGES + _CALLS + f"reach AS (WITH RECURSIVE far AS (SELECT DISTINCT graph, root, root AS node FROM ({_ROOTS}) UNION SELECT far.graph, far.root, adj.dst FROM far JOIN adj ON adj.graph = far.graph AND adj.src = far.node) SELECT * FROM far)" + ", s AS (SELECT graph, root, count(*) AS callers, count(*) FILTER (n.artifact_type = 'API_ENDPOINT') AS endpoints FROM reach r JOIN node n ON n.id = r.node WHERE r.node <> r.root GROUP BY ALL), c AS (SELECT *, least(10 * callers, 60) + 15 * endpoints AS score FROM s) +++ SELECT *, CASE WHEN score > 75 THEN 'CRITICAL' WHEN score > 50 THEN 'HIGH' WHEN score > 25 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM c")
 
 
 def _rails(t):

@@ -78,6 +78,6 @@ def _confidence(t):
 
 
 add("agg22_evidence_confidence", _confidence, "art edge pair", _IMPACT + """, p AS (SELECT graph, 0.5 + greatest(0.1, 0.5 - 0.1 * (depth - 1)) AS p FROM reach WHERE depth > 0 UNION ALL SELECT graph, 0.4 + CASE WHEN source_file <> '' THEN 0.4 ELSE 0 END + CASE WHEN artifact_type IS NOT NULL THEN 0.2 ELSE 0 END FROM ch) +++ SELECT graph, round(greatest(0.2, least(1.0, sum(p)::DOUBLE / count(*))), 6)::DOUBLE AS confidence FROM p GROUP BY 1""")
-add("ask01_intents", lambda t: review.question_intents(t.documents), "", r"""q AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '([A-Z][^.?!\n]{5,200}\?)', 1))) AS q FROM documents WHERE text IS NOT NULL)
+add("ask01_intents", lambda t: review.question_intents(t.documents), "", r"""q AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '([A-Z][^.?!\n]{5,}\?)', 1))) AS q FROM documents WHERE text IS NOT NULL)
   +++ SELECT doc_id, CASE WHEN regexp_matches(q, 'incident|outage|alert') THEN 'incident' WHEN regexp_matches(q, 'impact|affect|break|downstream') THEN 'impact' WHEN regexp_matches(q, 'rule|baseline|layer|violat') THEN 'guardrail' WHEN regexp_matches(q, 'test|suite|coverage') THEN 'test' ELSE 'component' END AS intent, count(*) AS n FROM q GROUP BY ALL""")
 QUERIES, SQL = CATALOG.queries, CATALOG.sql
