@@ -91,23 +91,21 @@ def traits(value: object) -> frozenset[int]:
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Fields by file (bucket -1), and trait counts by path, combined as far as they are read."""
     fields: dict[tuple, list] = {}
-    vectors: dict[str, np.ndarray] = {}
-    memory: dict[object, tuple[frozenset[int], np.ndarray]] = {}
-
-    def known(value: object, of: str) -> tuple[frozenset[int], np.ndarray]:
-        key = (of, value if of != "list" else repr(value))
-        if key not in memory:
-            if len(memory) > _FLUSH:
-                memory.clear()
-            hashes = traits(value)
-            memory[key] = hashes, np.array(sorted({h % BUCKETS for h in hashes}), dtype=np.int64)
-        return memory[key]
+    counts: dict[tuple[str, frozenset[int]], int] = {}
+    memory: dict[object, frozenset[int]] = {}
 
     def flush() -> pd.DataFrame:
         rows = [(*k, -1, n, sorted(s)[:SKETCH]) for k, (n, s) in fields.items()]
+        vectors: dict[str, np.ndarray] = {}
+        for (path, hashes), n in counts.items():
+            vector = vectors.get(path)
+            if vector is None:
+                vector = vectors[path] = np.zeros(BUCKETS, dtype=np.int64)
+            for b in {h % BUCKETS for h in hashes}:
+                vector[b] += n
         rows += [(None, None, p, None, int(b), int(v[b]), None) for p, v in vectors.items() for b in np.flatnonzero(v)]
         fields.clear()
-        vectors.clear()
+        counts.clear()
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _PART.split(", ")]).astype({"file_no": "Int32"})
 
     for batch in batches:
@@ -119,17 +117,23 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             attributes = event.get("attributes")
             for path, value in leaves(attributes) if isinstance(attributes, dict) else ():
                 of = kind(value)
-                hashes, buckets = known(value, of)
-                entry = fields.setdefault((feed, file_no, path, of), [0, set()])
+                key = (of, value if of != "list" else repr(value))
+                hashes = memory.get(key)
+                if hashes is None:
+                    if len(memory) > _FLUSH:
+                        memory.clear()
+                    hashes = memory[key] = traits(value)
+                told = (path, hashes)
+                counts[told] = counts.get(told, 0) + 1
+                entry = fields.get((feed, file_no, path, of))
+                if entry is None:
+                    entry = fields[feed, file_no, path, of] = [0, set()]
                 entry[0] += 1
                 if not hashes <= entry[1]:
                     entry[1] |= hashes
                     if len(entry[1]) > 8 * SKETCH:
                         entry[1] = set(sorted(entry[1])[:SKETCH])
-                if path not in vectors:
-                    vectors[path] = np.zeros(BUCKETS, dtype=np.int64)
-                vectors[path][buckets] += 1
-        if len(fields) > _FLUSH or len(vectors) > _FLUSH // 10:
+        if len(fields) > _FLUSH or len(counts) > 4 * _FLUSH:
             yield flush()
     if fields:
         yield flush()
