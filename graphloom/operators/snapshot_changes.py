@@ -125,14 +125,14 @@ class _Block:
         row, side = np.concatenate([now, was]), np.concatenate([np.zeros(len(now), dtype=int), np.ones(len(was), dtype=int)])
         by = np.lexsort((side, pair))
         pair, row, side = pair[by], row[by], side[by]
-        twin = np.zeros(len(pair), dtype=bool)
-        twin[:-1] = pair[1:] == pair[:-1]
+        paired = np.zeros(len(pair), dtype=bool)
+        paired[:-1] = pair[1:] == pair[:-1]
         other = row[np.minimum(np.arange(len(pair)) + 1, len(pair) - 1)] if len(pair) else row
         differs = (columns["c1"][row] != columns["c1"][other]) | (columns["c2"][row] != columns["c2"][other])
         both = columns["hashed"][row].astype(bool) & columns["hashed"][other].astype(bool)
         differs |= both & ((columns["h1"][row] != columns["h1"][other]) | (columns["h2"][row] != columns["h2"][other]))
-        second = np.concatenate([[False], twin[:-1]]) if len(pair) else twin
-        kind = np.where(twin, np.where(differs, "changed", ""), np.where(side == 0, "added", "removed"))
+        second = np.concatenate([[False], paired[:-1]]) if len(pair) else paired
+        kind = np.where(paired, np.where(differs, "changed", ""), np.where(side == 0, "added", "removed"))
         told = ~second & (kind != "")
         key = (pair[told] >> 31).astype(np.int64)
         return pd.DataFrame({"stream": self.stream[key], "ord": (pair[told] & ((1 << 31) - 1)).astype(np.int32), "qualified_name": self.name[key], "change": kind[told]})
